@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, toxicity
 from .common import table
 
 QUERIES = {
+    "op2_toxicity": lambda spark, d: toxicity.toxic_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op1_minhash_near_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
 }
 SQL: dict[str, str] = {}
