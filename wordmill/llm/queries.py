@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, pii, toxicity
+from . import decontaminate, minhash, pii, toxicity
 from .common import table
 
 QUERIES = {
+    "op8_benchmark_leaks": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_private_data": lambda spark, d: pii.private_spans(table(spark, d, "documents")),
     "op2_toxicity": lambda spark, d: toxicity.toxic_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op1_minhash_near_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
