@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, pii, sharding, toxicity
+from . import decontaminate, minhash, packing, pii, sharding, toxicity
 from .common import table
 
 QUERIES = {
+    "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op4_shards": lambda spark, d: sharding.shards(table(spark, d, "documents")),
     "op8_benchmark_leaks": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_private_data": lambda spark, d: pii.private_spans(table(spark, d, "documents")),
