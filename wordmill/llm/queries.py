@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, packing, pii, sharding, toxicity
+from . import decontaminate, minhash, packing, pii, sharding, substring, toxicity
 from .common import table
 
 QUERIES = {
+    "op7_repeated_passages": lambda spark, d: substring.repeated_passages(table(spark, d, "documents")),
     "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op4_shards": lambda spark, d: sharding.shards(table(spark, d, "documents")),
     "op8_benchmark_leaks": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
@@ -13,4 +14,19 @@ QUERIES = {
     "op2_toxicity": lambda spark, d: toxicity.toxic_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op1_minhash_near_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+
+#: Windows of 50 words compared as texts; the runs of repeated ones are found by gaps in their first words.
+_PASSAGES = f"""
+WITH t AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) - 1 AS i, len(w) AS n
+           FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+g AS (SELECT doc_id, i, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM t),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) = 1 AS keep, count(*) OVER (PARTITION BY h) AS c
+      FROM g WHERE i + 50 <= n),
+m AS (SELECT doc_id, keep, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, keep ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM r WHERE c > 1),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, keep ORDER BY i) AS run FROM m)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start, CAST(max(i) + 50 AS INTEGER) AS "end", CAST(max(i) + 50 - min(i) AS INTEGER) AS words, keep
+FROM s GROUP BY doc_id, keep, run
+"""
+
+SQL: dict[str, str] = {"op7_repeated_passages": _PASSAGES}
