@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, packing, pii, sharding, substring, toxicity
+from . import decontaminate, minhash, packing, pii, sharding, substring, suffix, toxicity
 from .common import table
 
 QUERIES = {
+    "op10_repeated_suffixes": lambda spark, d: suffix.repeated_suffixes(table(spark, d, "documents")),
     "op7_repeated_passages": lambda spark, d: substring.repeated_passages(table(spark, d, "documents")),
     "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op4_shards": lambda spark, d: sharding.shards(table(spark, d, "documents")),
@@ -29,4 +30,4 @@ SELECT doc_id, CAST(min(i) AS INTEGER) AS start, CAST(max(i) + 50 AS INTEGER) AS
 FROM s GROUP BY doc_id, keep, run
 """
 
-SQL: dict[str, str] = {"op7_repeated_passages": _PASSAGES}
+SQL: dict[str, str] = {"op7_repeated_passages": _PASSAGES, "op10_repeated_suffixes": _PASSAGES}
