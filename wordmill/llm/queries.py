@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, minhash, packing, pii, sharding, substring, suffix, toxicity
+from . import decontaminate, licenses, media, minhash, packing, pii, sharding, substring, suffix, toxicity
 from .common import table
 
 QUERIES = {
+    "op9_media_hashes": lambda spark, d: media.read_images(media.with_pictures(table(spark, d, "pages"))),
     "op3_license_texts": lambda spark, d: licenses.license_texts(table(spark, d, "documents")),
     "op10_repeated_suffixes": lambda spark, d: suffix.repeated_suffixes(table(spark, d, "documents")),
     "op7_repeated_passages": lambda spark, d: substring.repeated_passages(table(spark, d, "documents")),
