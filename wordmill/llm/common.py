@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 
 _written: list[tuple[SparkSession, str]] = []
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -30,10 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage at a table that outlives executors."""
+    """Write ``df`` to the shared folder and read it again: cuts the lineage at a table that outlives executors.
+
+    The shuffle files of the write are deleted when it has ended, for no later plan reads them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordmill-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import ids_and_text, stash
 from .tokens import mix, signed, word_blocks
 
@@ -15,8 +16,6 @@ MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 8), (0, 2, 4, 5, 8, 9), (0, 1, 4, 6
 #: An overlap is the stretch of largest sum of 1 a matching word and -PENALTY a substituted one; it counts from
 #: MATCHED matching words on, or all words of a shorter item. Items under SHORTEST words are no evidence.
 MATCHED, PENALTY, SHORTEST = 13, 3, 6
-#: Bits of the filter that keeps positions without a benchmark seed from being shuffled: 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
 
 _W = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
@@ -100,23 +99,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stash(bench.mapInArrow(_words, "item_id long, item_words array<long>").where(F.size("item_words") >= SHORTEST), "items")
     seeds = stash(bench.mapInArrow(_seeds, "seed long, item_id long, item_pos int").distinct(), "seeds")
     reach = items.agg(F.max(F.size("item_words"))).first()[0] or 0
-    bits = seeds.select(F.explode(F.array(F.col("seed").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("seed", 32).bitwiseAND(FILTER_BITS - 1))).alias("b"))
-    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x")).toArrow()  # FILTER_BITS / 64 rows at most
-    filled = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    filled[words.column("w").to_numpy()] = words.column("x").to_numpy()
-    packed = filled.view(np.uint8)
-    low = np.uint64(FILTER_BITS - 1)
+    filled = bloom.fill(seeds, F.col("seed"))
 
     def scan(batches):
-        def test(bit):
-            return (packed[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
         for b in batches:
             for lo, hi, h, off in word_blocks(b.column(1)):
                 at, key = [], []
                 for _, s, ok in seed_hashes(h, off):
-                    near = np.flatnonzero(test(s & low) & ok)
-                    near = near[test((s[near] >> np.uint64(32)) & low)]
+                    near = bloom.may_hold(filled, s, ok)
                     at.append(near)
                     key.append(s[near])
                 at = np.concatenate(at) if at else np.zeros(0, np.int64)

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, stash
+from . import bloom
+from .common import drop, ids_and_text, stash
 from .tokens import mix, signed, spans, within, word_blocks
 
 #: Words of a window; words of the short spans among which each window has its anchors.
@@ -68,8 +69,17 @@ def suspects(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = stash(d.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, pos int"), "anchors")
     place = F.struct("doc_id", "pos")
     again = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("anchor")
-    at = found.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    return d.join(at, "doc_id")
+    at = stash(found.join(again, "anchor").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "suspects")
+    drop(found)
+    filled = bloom.fill(at, F.xxhash64("doc_id"))
+
+    def pick(batches):
+        for b in batches:
+            k = b.column(2).to_numpy().view(np.uint64)
+            yield b.select(["doc_id", "text"]).take(pa.array(bloom.may_hold(filled, k, np.ones(len(k), dtype=bool))))
+
+    near = d.withColumn("k", F.xxhash64("doc_id")).mapInArrow(pick, "doc_id long, text string")
+    return near.join(at, "doc_id")
 
 
 def _window_rows(window: int):
