@@ -39,13 +39,13 @@ def _first_pairs(threshold: int, base: int, offset: int):
                 if n <= 0:
                     continue
                 live = np.zeros(len(h) + 1, dtype=np.int64)
-                salt = np.zeros(hi - lo, dtype=np.int32)
+                salt = np.zeros(hi - lo, dtype=np.int16)
                 for k in range(hi - lo):
                     a, z = int(off[k]), int(off[k + 1])
                     starts = np.flatnonzero(covered(flat[o[lo + k] : o[lo + k + 1]], z - a, threshold, GRAM)[: max(0, z - a - threshold + 1)])
                     np.add.at(live, a + starts, 1)  # every suffix that a suspect window reads
                     np.add.at(live, a + starts + threshold - size + 1, -1)
-                    salt[k] = mix((h[a:z] * mix(np.arange(z - a, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True)).view(np.int32)[0]
+                    salt[k] = mix((h[a:z] * mix(np.arange(z - a, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True)).view(np.int16)[0]
                 at = np.flatnonzero((np.cumsum(live)[:n] > 0) & within(off, size)[:n])
                 row = np.searchsorted(off, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
@@ -96,16 +96,16 @@ def _repeats(batches):
     yield from pa.Table.from_arrays(cols, names=["doc_id", "pos", "keep"]).to_batches(max_chunksize=50_000)
 
 
-_PAIRS = "r1 long, r2 long, doc_id long, salt int, pos int"
-_PAIR_SCHEMA = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("doc_id", pa.int64()), ("salt", pa.int32()), ("pos", pa.int32())])
-_RANKS = "doc_id long, salt int, pos int, rank long"
+_PAIRS = "r1 long, r2 long, doc_id long, salt short, pos int"
+_PAIR_SCHEMA = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("doc_id", pa.int64()), ("salt", pa.int16()), ("pos", pa.int32())])
+_RANKS = "doc_id long, salt short, pos int, rank long"
 
 
 def _pairs(offset: int):
     """Rank of each suffix with that of the suffix ``offset`` words on; suffixes whose partner was unique end here."""
 
     def run(batches):
-        t = pa.Table.from_batches(list(batches), schema=pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("pos", pa.int32()), ("rank", pa.int64())]))
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("doc_id", pa.int64()), ("salt", pa.int16()), ("pos", pa.int32()), ("rank", pa.int64())]))
         if not t.num_rows:
             return
         doc, salt, pos, rank = (t.column(k).to_numpy() for k in range(4))
