@@ -2,5 +2,485 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import Engine
+from .functions import similarity, tokenize
+from .operators import highlight, rank
+from .operators.index import Index
+from .options import SearchOptions
+from .plans.query import query_terms
+from .sources.tables import attach_documents
+from .streaming import ingest
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _index(spark: SparkSession, d: str) -> Index:
+    return Index.build(_docs(spark, d))
+
+
+def _engine(spark: SparkSession, d: str) -> Engine:
+    return Engine.from_df(_docs(spark, d))
+
+
+# SQL of tokens and statistics, written from the definitions. The corpus has no Chinese: runs need no n-grams here.
+
+_TOK = f"""tok AS (
+  SELECT doc_id, pos, p, CASE WHEN regexp_matches(p, '^[A-Za-z]') THEN lower(p) ELSE p END AS term
+  FROM (SELECT doc_id, unnest(ps) AS p, CAST(unnest(generate_series(0, len(ps) - 1)) AS BIGINT) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(text, '{tokenize.PIECE}') AS ps FROM documents)))"""
+_KIND = "CASE WHEN regexp_matches(p, '^[A-Za-z]') THEN 'English' WHEN regexp_matches(p, '^[0-9]') THEN 'Number' ELSE 'Symbol' END"
+_STATS = f"""WITH {_TOK},
+dlen AS (SELECT d.doc_id, count(t.term) AS dl FROM documents d LEFT JOIN tok t ON t.doc_id = d.doc_id GROUP BY d.doc_id),
+corpus AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl, CAST(sum(dl) AS BIGINT) AS total FROM dlen),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM tf GROUP BY term)"""
+
+
+def _in(terms: list[str]) -> str:
+    return ", ".join("'" + t.replace("'", "''") + "'" for t in terms)
+
+
+def _scores(terms: list[str], docs: str, phrase: str = "0.0", tag: str = "") -> str:
+    """CTE ``scored``: the parts of the score of the documents that ``docs`` selects."""
+    return f"""
+bm{tag} AS (SELECT doc_id, count(*) AS matched, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
+       FROM tf JOIN df USING (term) JOIN dlen USING (doc_id) CROSS JOIN corpus WHERE term IN ({_in(terms)}) GROUP BY doc_id),
+near{tag} AS (SELECT a.doc_id, min(abs(a.pos - b.pos)) AS gap FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.term < b.term
+         WHERE a.term IN ({_in(terms)}) AND b.term IN ({_in(terms)}) GROUP BY a.doc_id, a.term, b.term),
+prox{tag} AS (SELECT doc_id, avg(1.0 / (gap + 1)) AS prox FROM near{tag} GROUP BY doc_id),
+parts{tag} AS (SELECT doc_id, bm25, coalesce(prox, 0) * 0.45 * (1 + least(ln(1 + bm25), 2)) AS proximity,
+          matched / {len(terms)}.0 * bm25 * 0.2 AS coverage, {phrase} AS phrase
+          FROM bm{tag} LEFT JOIN prox{tag} USING (doc_id) WHERE doc_id IN ({docs})),
+scored{tag} AS (SELECT *, bm25 + proximity + coverage + phrase AS total FROM parts{tag})"""
+
+
+def _all_of(terms: list[str]) -> str:
+    return f"SELECT doc_id FROM tf WHERE term IN ({_in(terms)}) GROUP BY doc_id HAVING count(*) = {len(terms)}"
+
+
+def _any_of(terms: list[str]) -> str:
+    return f"SELECT doc_id FROM tf WHERE term IN ({_in(terms)})"
+
+
+def _phrase_docs(a: str, b: str) -> str:
+    return f"SELECT x.doc_id FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = '{a}' AND y.term = '{b}'"
+
+
+def _top(tag: str = "", limit: int = 20) -> str:
+    return f"SELECT doc_id, round(total, 6) AS score FROM scored{tag} WHERE total > 0 ORDER BY 2 DESC, 1 LIMIT {limit}"
+
+
+def _search_sql(terms: list[str], docs: str, phrase: str = "0.0", limit: int = 20) -> str:
+    return f"{_STATS}, {_scores(terms, docs, phrase)} {_top(limit=limit)}"
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.round("score", 6).alias("score"))
+
+
+_ALL = SearchOptions(limit=100_000)
+
+# Tokenizers
+
+
+@_query(f"""WITH x AS (SELECT doc_id, unnest(ps) AS p, unnest(generate_series(0, len(ps) - 1)) AS i
+           FROM (SELECT doc_id, regexp_extract_all(text, '{tokenize.TILE}') AS ps FROM documents)),
+y AS (SELECT *, sum(strlen(p)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM x)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos,
+       CASE WHEN regexp_matches(p, '^[A-Za-z]') THEN lower(p) ELSE p END AS term, {_KIND} AS kind,
+       CAST(stop - strlen(p) AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end"
+FROM y WHERE NOT regexp_matches(p, '^[{tokenize.SPACE}]')""")
+def tokens(spark, d):
+    return tokenize.tokens(_docs(spark, d))
+
+
+@_query(f"WITH {_TOK} SELECT doc_id, pos, term FROM tok")
+def token_terms(spark, d):
+    return _index(spark, d).occurrences.select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
+@_query(f"""SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_matches(c, '^\\p{{L}}') THEN 'English'
+            WHEN regexp_matches(c, '^\\p{{N}}') THEN 'Number' ELSE 'Symbol' END AS kind
+     FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^{tokenize.SPACE}]')) AS c FROM documents)) GROUP BY doc_id, kind""")
+def chars(spark, d):
+    return tokenize.tokenize_chars(_docs(spark, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_TOK}, g AS (SELECT doc_id, term FROM tok
+UNION ALL SELECT a.doc_id, a.term || b.term FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+UNION ALL SELECT a.doc_id, a.term || b.term || c.term FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+          JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2)
+SELECT term, count(*) AS n FROM g GROUP BY term""")
+def token_ngrams(spark, d):
+    return tokenize.tokenize_ngrams(_docs(spark, d), 3).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT doc_id, regexp_matches(text, '[{tokenize.CJK}]') AS chinese FROM documents")
+def contains_chinese(spark, d):
+    return _docs(spark, d).select("doc_id", tokenize.contains_chinese(F.col("text")).alias("chinese"))
+
+
+# Index and statistics
+
+
+@_query(f"{_STATS} SELECT term, df, total_tf FROM df")
+def term_stats(spark, d):
+    return _index(spark, d).term_stats
+
+
+@_query(f"{_STATS} SELECT doc_id, term, tf FROM tf")
+def doc_term_frequencies(spark, d):
+    return _index(spark, d).doc_tf
+
+
+@_query(f"{_STATS} SELECT doc_id, CAST(dl AS INTEGER) AS dl FROM dlen")
+def doc_length(spark, d):
+    return _index(spark, d).lengths
+
+
+@_query(f"{_STATS} SELECT n AS doc_count, total AS total_tokens, avgdl AS avg_doc_length FROM corpus")
+def corpus_stats(spark, d):
+    return _index(spark, d).corpus
+
+
+@_query(f"WITH {_TOK} SELECT term, doc_id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM tok WHERE term IN ('the', 'of') GROUP BY term, doc_id")
+def posting_list(spark, d):
+    p = _index(spark, d).postings.where(F.col("term").isin("the", "of"))
+    return p.select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+@_query(f"{_STATS} SELECT term FROM df WHERE starts_with(term, 'th') ORDER BY term LIMIT 50")
+def terms_with_prefix(spark, d):
+    return _index(spark, d).terms_with_prefix("th", 50)
+
+
+@_query(f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total_tf FROM tok WHERE doc_id % 10 <> 0 GROUP BY term")
+def remove_documents(spark, d):
+    gone = _docs(spark, d).where("doc_id % 10 = 0").select("doc_id")
+    return _index(spark, d).remove(gone).term_stats
+
+
+@_query(f"""WITH {_TOK.replace('FROM documents', 'FROM (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000 + item_id, text FROM benchmark)')}
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total_tf FROM tok GROUP BY term""")
+def add_documents(spark, d):
+    more = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") + 1_000_000).alias("doc_id"), "text")
+    return _index(spark, d).add(more).term_stats
+
+
+@_query("SELECT CAST(p_partkey AS BIGINT) AS doc_id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part")
+def structured_documents(spark, d):
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    return Index.build(parts, F.concat_ws(" ", "p_name", "p_brand", "p_type"), "p_partkey").docs
+
+
+# Boolean search, as sets of documents
+
+
+def _set(spark, d, query: str) -> DataFrame:
+    return _engine(spark, d).search(query, _ALL).select("doc_id")
+
+
+@_query(f"{_STATS} SELECT doc_id FROM tf WHERE term = 'the'")
+def match_term(spark, d):
+    return _set(spark, d, "the")
+
+
+@_query(f"{_STATS} {_all_of(['the', 'of'])}")
+def match_and(spark, d):
+    return _set(spark, d, "the AND of")
+
+
+@_query(f"{_STATS} SELECT DISTINCT doc_id FROM tf WHERE term IN ('ting', 'tion')")
+def match_or(spark, d):
+    return _set(spark, d, "ting OR tion")
+
+
+@_query(f"{_STATS} SELECT doc_id FROM tf WHERE term = 'the' EXCEPT SELECT doc_id FROM tf WHERE term = 'of'")
+def match_not(spark, d):
+    return _set(spark, d, "the -of")
+
+
+@_query(f"{_STATS} (({_all_of(['the', 'of'])}) EXCEPT (SELECT doc_id FROM tf WHERE term = 'and')) UNION (SELECT doc_id FROM tf WHERE term = 'tion')")
+def match_mixed(spark, d):
+    return _set(spark, d, "the of -and OR tion")
+
+
+@_query(f"{_STATS} SELECT DISTINCT doc_id FROM ({_phrase_docs('of', 'the')})")
+def match_phrase(spark, d):
+    return _set(spark, d, '"of the"')
+
+
+@_query(f"{_STATS} SELECT DISTINCT doc_id FROM tf WHERE starts_with(term, 'idio')")
+def match_prefix(spark, d):
+    return _set(spark, d, "idio*")
+
+
+# Ranking
+
+
+@_query(_search_sql(["of", "the"], _all_of(["of", "the"])))
+def search(spark, d):
+    return _found(_engine(spark, d).search("the of"))
+
+
+@_query(_search_sql(["and", "of", "the", "to"], _any_of(["and", "of", "the", "to"])))
+def search_or(spark, d):
+    return _found(_engine(spark, d).search("the OR of OR and OR to"))
+
+
+@_query(_search_sql(["of", "the"], _phrase_docs("of", "the"), "3.0"))
+def search_phrase(spark, d):
+    return _found(_engine(spark, d).search_phrase("of the"))
+
+
+def _breakdown(spark, d) -> DataFrame:
+    return _engine(spark, d).search("the OR of OR and", SearchOptions(limit=100_000, explain=True))
+
+
+def _part(name: str) -> str:
+    return f"{_STATS}, {_scores(['and', 'of', 'the'], _any_of(['and', 'of', 'the']))} SELECT doc_id, round({name}, 6) AS score FROM scored"
+
+
+@_query(_part("bm25"))
+def bm25(spark, d):
+    return _breakdown(spark, d).select("doc_id", F.round("score_breakdown.bm25", 6).alias("score"))
+
+
+@_query(_part("proximity"))
+def proximity(spark, d):
+    return _breakdown(spark, d).select("doc_id", F.round("score_breakdown.proximity", 6).alias("score"))
+
+
+@_query(_part("coverage"))
+def coverage(spark, d):
+    return _breakdown(spark, d).select("doc_id", F.round("score_breakdown.coverage", 6).alias("score"))
+
+
+@_query(_part("total"))
+def combined_score(spark, d):
+    return _breakdown(spark, d).select("doc_id", F.round("score_breakdown.total", 6).alias("score"))
+
+
+@_query(f"{_STATS} SELECT doc_id, max(3.0) AS phrase FROM ({_phrase_docs('in', 'the')}) GROUP BY doc_id".replace("max(3.0)", "CAST(max(3.0) AS DOUBLE)"))
+def phrase_score(spark, d):
+    hits = _engine(spark, d).search('"in the"', SearchOptions(limit=100_000, explain=True))
+    return hits.select("doc_id", F.col("score_breakdown.phrase").alias("phrase"))
+
+
+@_query(f"""{_STATS} SELECT doc_id, round(sum((1 + ln(tf)) * ln(n / df)), 6) AS score FROM tf JOIN df USING (term) CROSS JOIN corpus
+WHERE term IN ('the', 'of', 'tion') GROUP BY doc_id""")
+def tfidf(spark, d):
+    index = _index(spark, d)
+    hits = index.doc_tf.where(F.col("term").isin("the", "of", "tion"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # three rows
+    n = index.corpus.select("doc_count")
+    part = rank.tfidf_part(F.col("tf"), F.col("df"), F.col("doc_count"))
+    return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+_BATCH = ["the of", "and to", "in that"]
+
+
+@_query(
+    f"{_STATS}, "
+    + ", ".join(_scores(sorted(x.split()), _all_of(x.split()), tag=str(k)) for k, x in enumerate(_BATCH))
+    + " "
+    + " UNION ALL ".join(f"SELECT * FROM (SELECT {k} AS query_id, * FROM ({_top(str(k), 10)}))" for k in range(len(_BATCH)))
+)
+def batch_search(spark, d):
+    hits = _engine(spark, d).batch_search(_BATCH, SearchOptions(limit=10))
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(
+    f"""{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS ({_top()})
+SELECT top.doc_id, string_agg(CAST(stop - strlen(p) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ' ' ORDER BY stop) AS spans, 'of the' AS terms
+FROM top JOIN (SELECT *, sum(strlen(p)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM
+  (SELECT doc_id, unnest(ps) AS p, unnest(generate_series(0, len(ps) - 1)) AS i
+   FROM (SELECT doc_id, regexp_extract_all(text, '{tokenize.TILE}') AS ps FROM documents))) y ON y.doc_id = top.doc_id
+WHERE lower(p) IN ('the', 'of') GROUP BY top.doc_id"""
+)
+def match_positions(spark, d):
+    hits = _engine(spark, d).search("the of")
+    spans = F.transform("match_positions", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return hits.select("doc_id", F.array_join(spans, " ").alias("spans"), F.array_join("matched_terms", " ").alias("terms"))
+
+
+@_query(
+    f"""SELECT doc_id, string_agg(CASE WHEN lower(p) IN ('the', 'of') THEN '<em>' || p || '</em>' ELSE p END, '' ORDER BY i) AS highlighted
+FROM (SELECT doc_id, unnest(ps) AS p, unnest(generate_series(0, len(ps) - 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '{tokenize.TILE}') AS ps FROM documents))
+GROUP BY doc_id HAVING bool_or(lower(p) IN ('the', 'of'))"""
+)
+def highlights(spark, d):
+    return highlight.highlight(_index(spark, d).docs, ["the", "of"]).select("doc_id", "highlighted")
+
+
+@_query(
+    """WITH s AS (SELECT l_orderkey, l_partkey % 100 AS a, l_partkey % 100 + CAST(l_quantity AS BIGINT) AS z FROM lineitem),
+m AS (SELECT *, max(z) OVER (PARTITION BY l_orderkey ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT * FROM s)),
+g AS (SELECT *, sum(CASE WHEN a < reach THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY a, z) AS run FROM m)
+SELECT l_orderkey, CAST(min(a) AS INTEGER) AS start, CAST(max(z) AS INTEGER) AS "end" FROM g GROUP BY l_orderkey, run"""
+)
+def merged_spans(spark, d):
+    a = (F.col("l_partkey") % 100).cast("int")
+    spans = F.collect_set(F.struct(a.alias("start"), (a + F.col("l_quantity").cast("int")).alias("end")))
+    per = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(spans.alias("spans"))
+    return per.select("l_orderkey", F.explode(highlight.merge_spans(F.col("spans"))).alias("s")).select("l_orderkey", "s.start", "s.end")
+
+
+@_query(f"{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS ({_top()}) SELECT top.doc_id, score, lang, source FROM top LEFT JOIN documents USING (doc_id)")
+def attached_documents(spark, d):
+    hits = _found(_engine(spark, d).search("the of"))
+    return attach_documents(hits, _docs(spark, d)).select("doc_id", "score", "item.lang", "item.source")
+
+
+@_query(
+    f"""{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS (SELECT * FROM scored ORDER BY round(total, 6) DESC, doc_id LIMIT 20)
+SELECT doc_id, 'and:document satisfies AND of 2 clauses|term:document contains term ''the''|term:document contains term ''of'''
+  || '|score:ranking bonus from proximity: ' || printf('%.4f', proximity) || '|score:ranking bonus from coverage: ' || printf('%.4f', coverage) AS reasons FROM top"""
+)
+def explain(spark, d):
+    hits = _engine(spark, d).explain("the of")
+    return hits.select("doc_id", F.array_join(F.transform("match_reasons", lambda r: F.concat_ws(":", r["code"], r["message"])), "|").alias("reasons"))
+
+
+# Similarity
+
+
+def _fuzzy_sql(term: str, boost: str = "1.0") -> str:
+    n = len(term)
+    return f"""{_STATS}, f AS (SELECT term, levenshtein(term, '{term}') AS distance FROM df WHERE abs(length(term) - {n}) <= 2 AND regexp_matches(term, '^[ -~]+$'))
+SELECT term, CAST(distance AS INTEGER) AS distance, round((0.7 * (1 - distance / 2.0) + 0.3 * least(length(term), {n}) / greatest(length(term), {n})) * {boost}, 6) AS score
+FROM f WHERE distance <= 2"""
+
+
+@_query(_fuzzy_sql("thorin"))
+def fuzzy_match(spark, d):
+    found = similarity.fuzzy_matches(_index(spark, d).vocabulary, "thorin", 2, None)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@_query(_fuzzy_sql("thand", "CASE WHEN starts_with(term, 'thand') THEN 1.5 ELSE 1.0 END"))
+def fuzzy_match_with_prefix(spark, d):
+    found = similarity.fuzzy_matches_with_prefix(_index(spark, d).vocabulary, "thand", 2, None)
+    return found.withColumn("score", F.round("score", 6))
+
+
+_NEAR = [f"near{k} AS (SELECT term FROM (SELECT term, levenshtein(term, '{t}') AS e FROM df WHERE abs(length(term) - {len(t)}) <= 2) WHERE e <= 2 ORDER BY round(0.7 * (1 - e / 2.0) + 0.3 * least(length(term), {len(t)}) / greatest(length(term), {len(t)}), 9) DESC, term LIMIT 32)" for k, t in enumerate(["thorin", "wither"])]
+
+
+@_query(
+    f"""{_STATS}, {", ".join(_NEAR)}, q AS (SELECT term FROM near0 UNION SELECT term FROM near1 UNION SELECT 'thorin' UNION SELECT 'wither'),
+hit AS (SELECT doc_id FROM tf WHERE term IN (SELECT term FROM near0) OR term = 'thorin' INTERSECT SELECT doc_id FROM tf WHERE term IN (SELECT term FROM near1) OR term = 'wither'),
+b AS (SELECT doc_id, count(*) AS matched, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
+      FROM tf JOIN df USING (term) JOIN dlen USING (doc_id) CROSS JOIN corpus WHERE term IN (SELECT term FROM q) AND doc_id IN (SELECT doc_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, round(bm25 + matched / (SELECT count(*) FROM q) * bm25 * 0.2, 6) AS score FROM b ORDER BY 2 DESC, 1 LIMIT 20"""
+)
+def search_fuzzy(spark, d):
+    return _found(_engine(spark, d).search_fuzzy("thorin wither", 2))
+
+
+def _words(spark, d) -> DataFrame:
+    ascii_ = F.col("term").rlike("^the[a-z]*$")
+    return similarity.register(_index(spark, d).vocabulary.where(ascii_))
+
+
+_WORDS = f"{_STATS}, w AS (SELECT term FROM df WHERE regexp_matches(term, '^the[a-z]*$'))"
+
+
+@_query(f"{_WORDS} SELECT term, CAST(levenshtein(term, 'therein') AS INTEGER) AS distance, levenshtein(term, 'therein') <= 2 AS near FROM w")
+def levenshtein(spark, d):
+    a, b = F.col("term"), F.lit("therein")
+    return _words(spark, d).select("term", similarity.levenshtein_distance(a, b).alias("distance"), similarity.is_fuzzy_match(a, b, 2).alias("near"))
+
+
+@_query(f"{_WORDS} SELECT term, CAST(damerau_levenshtein(term, 'hteer') AS INTEGER) AS distance FROM w")
+def damerau_levenshtein(spark, d):
+    return _words(spark, d).select("term", similarity.damerau_levenshtein("term", F.lit("hteer")).alias("distance"))
+
+
+@_query()
+def lcs_similarity(spark, d):
+    return _words(spark, d).select("term", F.round(similarity.lcs_similarity("term", F.lit("therein")), 6).alias("similarity"))
+
+
+@_query(
+    f"""{_STATS}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (term IN ('the', 'of', 'and', 'to')) AS both FROM tf GROUP BY doc_id)
+SELECT doc_id, round(both / (n + 4.0 - both), 6) AS similarity FROM s"""
+)
+def jaccard_similarity(spark, d):
+    own = F.array(*map(F.lit, ["the", "of", "and", "to"]))
+    terms = _index(spark, d).docs.select("doc_id", tokenize.terms(F.col("text")).alias("terms"))
+    return terms.select("doc_id", F.round(similarity.jaccard_similarity(F.col("terms"), own), 6).alias("similarity"))
+
+
+# Suggestions
+
+
+@_query(f"{_STATS} SELECT term FROM df WHERE starts_with(term, 'th') ORDER BY df DESC, term LIMIT 10")
+def suggest(spark, d):
+    return _engine(spark, d).suggest("TH")
+
+
+@_query(f"{_STATS} SELECT term FROM (SELECT term FROM df WHERE starts_with(term, 'de') ORDER BY df DESC, term LIMIT 10)")
+def suggest_with_pinyin(spark, d):
+    return _engine(spark, d).suggest_with_pinyin("de")
+
+
+@_query(
+    f"""{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS (SELECT doc_id, total FROM scored ORDER BY round(total, 6) DESC, doc_id LIMIT 20)
+SELECT term, round(sum(total * ln(1 + tf) * (ln((n + 1) / (df + 1)) + 1)), 6) AS score, df AS doc_frequency, total_tf AS total_frequency
+FROM top JOIN tf USING (doc_id) JOIN df USING (term) CROSS JOIN corpus
+WHERE term NOT IN ('the', 'of') AND NOT regexp_matches(term, '^[!-/:-@\\[-`{{-~]+$') AND NOT regexp_matches(term, '^[ -~]$')
+GROUP BY term, df, total_tf ORDER BY score DESC, doc_frequency DESC, term LIMIT 25"""
+)
+def related_terms(spark, d):
+    engine = _engine(spark, d)
+    hits = engine.search("the of", SearchOptions(enable_cache=False)).select("doc_id", "score", F.lit(0).alias("place"))
+    return engine.related(hits, set(query_terms("the of")), 25).select("term", F.round("score", 6).alias("score"), "doc_frequency", "total_frequency")
+
+
+@_query()
+def suggest_related(spark, d):
+    return _engine(spark, d).suggest_related("worthless pathetic", 10).withColumn("source_doc_ids", F.array_join(F.col("source_doc_ids").cast("array<string>"), " "))
+
+
+@_query()
+def search_pinyin(spark, d):
+    return _found(_engine(spark, d).search_pinyin("the"))
+
+
+# Streaming
+
+
+@_query(f"{_STATS} SELECT term, df, total_tf FROM df")
+def stream_index(spark, d):
+    """The statistics of an index that a stream of the documents has filled."""
+    out = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    out = f"{out.rstrip('/')}/wordmill-stream-{os.urandom(6).hex()}"
+    folder = f"{d}/documents.parquet" if not os.path.isfile(f"{d}/documents.parquet") else f"{d}/documents*.parquet"
+    stream = ingest.read_stream(spark, folder, _docs(spark, d).schema.simpleString()[7:-1].replace(":", " "))
+    ingest.ingest(stream, f"{out}/index", f"{out}/log", available_now=True).awaitTermination()
+    return ingest.snapshot(spark, f"{out}/index").term_stats
