@@ -299,7 +299,7 @@ def tfidf(spark, d):
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-_BATCH = ["the of", "and to", "in that"]
+_BATCH = ["the of", "of to", "in that"]
 
 
 @_query(
@@ -427,8 +427,8 @@ def lcs_similarity(spark, d):
 
 
 @_query(
-    f"""{_STATS}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (term IN ('the', 'of', 'and', 'to')) AS both FROM tf GROUP BY doc_id)
-SELECT doc_id, round(both / (n + 4.0 - both), 6) AS similarity FROM s"""
+    f"""{_STATS}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (term IN ('the', 'of', 'and', 'to')) AS common FROM tf GROUP BY doc_id)
+SELECT doc_id, round(common / (n + 4.0 - common), 6) AS similarity FROM s"""
 )
 def jaccard_similarity(spark, d):
     own = F.array(*map(F.lit, ["the", "of", "and", "to"]))
@@ -450,8 +450,8 @@ def suggest_with_pinyin(spark, d):
 
 
 @_query(
-    f"""{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS (SELECT doc_id, total FROM scored ORDER BY round(total, 6) DESC, doc_id LIMIT 20)
-SELECT term, round(sum(total * ln(1 + tf) * (ln((n + 1) / (df + 1)) + 1)), 6) AS score, df AS doc_frequency, total_tf AS total_frequency
+    f"""{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS (SELECT doc_id, total AS hit FROM scored ORDER BY round(total, 6) DESC, doc_id LIMIT 20)
+SELECT term, round(sum(hit * ln(1 + tf) * (ln((n + 1) / (df + 1)) + 1)), 6) AS score, df AS doc_frequency, total_tf AS total_frequency
 FROM top JOIN tf USING (doc_id) JOIN df USING (term) CROSS JOIN corpus
 WHERE term NOT IN ('the', 'of') AND NOT regexp_matches(term, '^[!-/:-@\\[-`{{-~]+$') AND NOT regexp_matches(term, '^[ -~]$')
 GROUP BY term, df, total_tf ORDER BY score DESC, doc_frequency DESC, term LIMIT 25"""

@@ -67,16 +67,24 @@ def _pairwise(a: pd.Series, b: pd.Series, f) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("int")
-def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    """No built-in function has transpositions: Arrow batches, each distinct pair once."""
-    return _pairwise(a, b, _damerau)
+def damerau_levenshtein(a: Column, b: Column) -> Column:
+    """Edit distance with transpositions. No built-in function has them: Arrow batches, each distinct pair once."""
 
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _pairwise(x, y, _damerau)
 
-@F.pandas_udf("double")
-def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return distance(a, b)
+
+
+def lcs_similarity(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence over that of the longer string; 0 if one is empty."""
-    return _pairwise(a, b, _lcs)
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _pairwise(x, y, _lcs)
+
+    return share(a, b)
 
 
 def register(df: DataFrame) -> DataFrame:
