@@ -6,9 +6,12 @@ apart come in, it lets more rows through, and the result stays the same."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: 4 MB, whatever the input; two bits a key.
 BITS = 1 << 25
 
@@ -31,3 +34,22 @@ def may_hold(filled: np.ndarray, h: np.ndarray, among: np.ndarray) -> np.ndarray
     low = np.uint64(BITS - 1)
     at = np.flatnonzero(_set(filled, h & low) & among)
     return at[_set(filled, (h[at] >> np.uint64(32)) & low)]
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose key is in the one column of ``gone``; null keys stay, as do all columns.
+
+    Rows whose key the filter rules out aren't shuffled; the others go through an anti-join."""
+    gone = stash(gone.select(F.col(gone.columns[0]).cast("long").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
+    filled = fill(gone, F.xxhash64("__gone"))
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        out = np.zeros(len(h), dtype=bool)
+        out[may_hold(filled, h.to_numpy(dtype=np.int64).view(np.uint64), np.ones(len(h), dtype=bool))] = True
+        return pd.Series(out)
+
+    marked = docs.withColumn("__may_go", may_go(F.xxhash64(F.col(key).cast("long"))))
+    rest = marked.where("__may_go")
+    kept = rest.join(gone, rest[key].cast("long") == gone["__gone"], "left_anti")
+    return marked.where("NOT __may_go").unionByName(kept).drop("__may_go")

@@ -147,5 +147,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that overlap a benchmark item; all other rows and all columns stay as they are."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    return bloom.without(docs, leaks(docs, benchmark).select("doc_id"))

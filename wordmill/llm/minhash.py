@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import without
 from .common import ids_and_text, stash
 from .components import connected
 from .tokens import mix, signed, word_blocks
@@ -156,5 +157,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the members that don't stay; all columns and all other rows are left as they are."""
-    gone = near_duplicates(docs).where("not keep").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    return without(docs, near_duplicates(docs).where("not keep").select("doc_id"))
