@@ -1,0 +1,283 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from wordmill.llm import decontaminate, licenses, media, pii, toxicity
+from wordmill.llm.common import ids_and_text, table
+from wordmill.llm.tokens import mix, word_blocks
+
+
+# Toxicity
+
+
+def test_factorization_machine_learns_pairs():
+    """Each of four words is in as many toxic rows as clean ones; only which pair occurs tells: no linear score can."""
+    rng = np.random.default_rng(0)
+    filler, word = mix(np.arange(100, 400, dtype=np.uint64)), mix(np.arange(1, 5, dtype=np.uint64))
+    rows, y = [], []
+    for k in range(2400):
+        a, b = k % 2, k // 2 % 2
+        rows.append(np.unique(np.concatenate([rng.choice(filler, 12), word[[a, 2 + b]]])))
+        y.append(a == b)
+    model = toxicity.fit(rows[:1600], np.array(y[:1600]))
+    test = rows[1600:]
+    off = np.cumsum([0, *map(len, test)])
+    p = model.scores(np.concatenate(test), off) >= 0.5
+    assert (p == np.array(y[1600:])).mean() > 0.95
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    labels = table(spark, d, "labels")
+    train, test = labels.where("doc_id % 3 > 0"), labels.where("doc_id % 3 = 0").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic")
+    docs = table(spark, d, "documents")
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, train).collect()}
+    truth = {r.doc_id: r.toxic for r in test.collect()}
+    toxic = {i for i, t in truth.items() if t == 1}
+    hit = len(found & toxic)
+    assert hit >= 0.85 * len(toxic) and hit >= 0.93 * len(found & set(truth))
+
+
+@pytest.mark.parametrize("y", [[], [0, 0], [1, 1]])
+def test_constant_labels_give_a_constant_model(y):
+    model = toxicity.fit([np.array([1, 2], dtype=np.uint64)] * len(y), np.array(y))
+    p = model.scores(np.array([1], dtype=np.uint64), np.array([0, 1, 1]))
+    assert (p > 0.5).tolist() == [bool(y and y[0])] * 2
+
+
+# Licenses
+
+
+def test_patience_alignment_is_a_common_subsequence():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.randrange(12) for _ in range(rng.randrange(15))] for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    x = list(range(50))
+    assert len(licenses.align(x, x[:20] + [99] * 5 + x[22:])) == 48
+
+
+def test_longest_increasing_against_all_subsequences():
+    rng = random.Random(2)
+    for _ in range(200):
+        x = [rng.randrange(20) for _ in range(rng.randrange(12))]
+        best = [1] * len(x)
+        for i in range(len(x)):
+            best[i] = 1 + max((best[j] for j in range(i) if x[j] < x[i]), default=0)
+        got = licenses.longest_increasing(x)
+        assert len(got) == max(best, default=0) and all(x[p] < x[q] for p, q in zip(got, got[1:]))
+
+
+def test_license_places(spark):
+    mit = licenses.TEMPLATES["MIT"].split()
+    edited = [w for k, w in enumerate(mit) if k % 17] + ["The"]
+    filler = "the of and to in it that for with on " * 60
+    rows = [
+        (1, f"{filler} {' '.join(edited)} {filler} {' '.join(mit)}"),
+        (2, "x Released under the MIT License. y. Licensed under CC BY-NC 4.0."),
+        (3, filler * 20),
+        (4, "Released under the terms of a License"),
+        (5, "Licensed under the Apache License, Version 2.0."),
+        (6, None),
+        (None, "Released under the MIT License."),
+        (7, ""),
+    ]
+    got = licenses.license_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "MIT"), (1, "MIT"), (2, "CC-BY-NC-4.0-notice"), (2, "MIT-notice"), (5, "Apache-2.0-notice")]
+    for r in got:
+        assert 0.75 <= r.coverage <= 1 and r.end > r.start
+        if r.doc_id != 1:
+            assert r.coverage == 1
+
+
+def test_license_search_against_every_window(spark):
+    """Each document of the small table: the best alignment from any word on, without the filter."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("text LIKE '%icense%' OR doc_id % 40 = 0")
+    known = {n: h.tolist() for n, h in licenses.template_words(licenses.TEMPLATES).items()}
+    want = set()
+    for r in docs.collect():
+        h = next(word_blocks(pa.array([r.text])))[2].tolist()
+        places = []
+        for name, t in known.items():
+            for k in range(len(h)) if len(t) < licenses.SHORT else ():
+                if h[k] in t and len(m := licenses.align(t, h[k : k + int(licenses.STRETCH * len(t))])) >= licenses.least_cover(len(t)):
+                    places.append((-len(m), -len(m) / len(t), name, k + m[0][1], k + m[-1][1] + 1))
+        taken = []
+        for _, _, name, s, e in sorted(places):
+            if all(e <= x or s >= y for x, y in taken):
+                taken.append((s, e))
+                want.add((r.doc_id, name))
+    assert {(r.doc_id, r.license) for r in licenses.license_texts(docs).collect()} == want
+
+
+# Private data
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in pii.initial(rng).items()}
+    x, y = map(np.array, zip(*[pii._encode(*pii.labelled_text(rng, 20), 20) for _ in range(3)]))
+    _, g = pii.loss_and_gradients(p, x, y)
+    for k in p:
+        at = tuple(np.unravel_index(np.abs(g[k]).argmax(), g[k].shape))
+        side = []
+        for e in (1e-3, -1e-3):
+            q = {a: b.copy() for a, b in p.items()}
+            q[k][at] += e
+            side.append(pii.loss_and_gradients(q, x, y)[0])
+        assert g[k][at] == pytest.approx((side[0] - side[1]) / 2e-3, rel=0.02)
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    p = {"T": rng.normal(size=(pii.K, pii.K)).astype(np.float32), "S": rng.normal(size=pii.K).astype(np.float32)}
+    em = rng.normal(size=(3, 1, pii.K)).astype(np.float32)
+    best = max(
+        (s for s in itertools.product(range(pii.K), repeat=3) if (s[0] == 0 or s[0] % 2) and all(pii.ALLOWED[a, b] for a, b in zip(s, s[1:]))),
+        key=lambda s: em[np.arange(3), 0, s].sum() + p["S"][s[0]] + sum(p["T"][a, b] for a, b in zip(s, s[1:])),
+    )
+    assert tuple(pii._viterbi(p, em, np.array([3]))[:, 0]) == best
+
+
+def test_private_spans_of_held_out_texts():
+    rng = np.random.default_rng(77)
+    texts = [pii.labelled_text(rng, 400) for _ in range(150)]
+    got = set(pii.find(pii.default_model(), pa.array([t for t, _ in texts])))
+    gold = {(k, *s) for k, (_, spans) in enumerate(texts) for s in spans}
+    over = lambda a, b: any(x[0] == a[0] and x[1] < a[2] and a[1] < x[2] for x in b)
+    assert sum(over(g, got) for g in gold) >= 0.97 * len(gold)
+    assert sum(over(g, gold) for g in got) >= 0.97 * len(got)
+    assert len(gold & got) >= 0.88 * len(gold)
+
+
+def test_only_surroundings_of_digits_matter():
+    """What lies farther than REACH from any digit or @ has no span: the whole text decoded gives the same."""
+    rng = np.random.default_rng(5)
+    text = " ".join(pii.labelled_text(rng, 60)[0] + " plain words " * 30 for _ in range(6))
+    model = pii.default_model()
+    ids = pii.char_ids(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+    whole = {(s, e) for s, e, _ in pii._tag_spans(pii.decode(model, [ids])[0]) if any(c.isdigit() or c == "@" for c in text[s:e]) and e - s >= 6}
+    got = {(s, e) for _, s, e, _ in pii.find(model, pa.array([text]))}
+    assert sum(any(a < y and x < b for x, y in whole) for a, b in got) >= 0.95 * len(got)
+    assert sum(any(a < y and x < b for x, y in got) for a, b in whole) >= 0.95 * len(whole)
+
+
+def test_masking_keeps_rows_and_columns(spark):
+    rows = [(1, "mail an.12@mail3.example.com now", 0), (2, "nothing here", 12), (3, None, None), (None, "call +1 (555) 123-4567 é", 24), (5, "", 0)]
+    got = pii.mask_private(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    assert [r.text for r in got] == ["mail [EMAIL] now", "nothing here", None, "call [PHONE] é", ""]
+    assert [r.n_chars for r in got] == [16, 12, None, 14, 0]
+
+
+# Decontamination
+
+
+def test_overlaps_against_all_diagonals(spark):
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(3000)}"
+    items = [(k, " ".join(word() for _ in range(rng.randrange(8, 50)))) for k in range(25)]
+    docs = []
+    for k in range(120):
+        w = [word() for _ in range(rng.randrange(20, 200))]
+        if k % 2:
+            part = items[rng.randrange(25)][1].split()
+            for _ in range(k % 5):
+                part[rng.randrange(len(part))] = word()
+            w[10:10] = part
+        docs.append((k, " ".join(w)))
+    hashed = lambda rows: {i: next(word_blocks(pa.array([t])))[2] for i, t in rows}
+    want = set()
+    for d, w in hashed(docs).items():
+        for i, x in hashed(items).items():
+            for diag in range(-len(x) + 1, len(w)):
+                lo, hi = max(0, diag), min(len(w), diag + len(x))
+                s, e, n = decontaminate.overlap(w[lo:hi], x[lo - diag : hi - diag])
+                if n >= min(decontaminate.MATCHED, len(x)):
+                    want.add((d, i, lo + s, lo - diag + s, e - s, n))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in decontaminate.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 30
+
+
+def test_short_items_and_other_columns(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six", "x"), (2, "one two", "y"), (3, None, "z"), (None, "a b c d e f g h", "q")], "item_id long, text string, doc_id string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven", 5), (2, "one two three four five", 6), (None, "one two three four five six", 7), (4, None, 8)], "doc_id long, text string, item_id long")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 1)]
+    kept = decontaminate.drop_leaking(docs, bench)
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted([r for r in docs.collect() if r.doc_id != 1], key=str)
+
+
+# Media
+
+
+def test_png_round_trip_of_every_filter():
+    rng = np.random.default_rng(1)
+    shapes = [(5, 7), (1, 1), (9, 4, 3), (20, 64), (3, 5, 4), (6, 2, 2), (33, 64)]
+    images = [rng.integers(0, 256, s, dtype=np.uint8) for s in shapes]
+    data = [media.encode(x, np.full(len(x), f)) for f in range(5) for x in images] + [media.encode(x) for x in images]
+    for got, x in zip(media.decode_all(data), images * 6):
+        assert np.array_equal(got.reshape(x.shape), x)
+
+
+def _png(width, height, depth, colour, rows, palette=b""):
+    import struct
+    import zlib
+
+    parts = media._chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0))
+    parts += media._chunk(b"PLTE", palette) if palette else b""
+    raw = b"".join(b"\x00" + r for r in rows)
+    z = zlib.compress(raw)
+    return media.SIGNATURE + parts + media._chunk(b"IDAT", z[:5]) + media._chunk(b"tEXt", b"k\x00v") + media._chunk(b"IDAT", z[5:]) + media._chunk(b"IEND", b"")
+
+
+def test_png_depths_and_palettes():
+    one = media.decode_all([_png(10, 1, 1, 0, [bytes([0b10101010, 0b11000000])])])[0]
+    assert one[0, :, 0].tolist() == [255, 0] * 4 + [255, 255]
+    deep = media.decode_all([_png(2, 1, 16, 0, [bytes([7, 1, 9, 2])])])[0]
+    assert deep[0, :, 0].tolist() == [7, 9]
+    colours = media.decode_all([_png(2, 1, 4, 3, [bytes([0x01])], bytes([1, 2, 3, 4, 5, 6]))])[0]
+    assert colours.tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    assert media.decode_all([_png(2, 1, 4, 3, [bytes([0x05])], bytes([1, 2, 3]))]) == ["palette"]
+
+
+def test_damaged_images_are_told(spark):
+    good = media.encode(np.arange(64, dtype=np.uint8).reshape(8, 8))
+    bad = bytearray(good)
+    bad[45] ^= 1
+    rows = [(1, good), (2, bytes(bad)), (3, good[:-6]), (4, b""), (5, None), (None, good), (1, good)]
+    got = media.read_images(spark.createDataFrame(rows, "page_id long, image binary")).collect()
+    assert [r.status for r in got] == ["ok", "checksum of IDAT", "cut short", "signature", "null", "ok", "ok"]
+    assert all((r.hash is None) == (r.status != "ok") for r in got)
+
+
+def test_cosine_hash_is_close_for_close_pictures():
+    rng = np.random.default_rng(3)
+    base = np.cumsum(np.cumsum(rng.normal(size=(80, 64)), axis=0), axis=1)
+    base = ((base - base.min()) / (base.max() - base.min()) * 255).astype(np.uint8)
+    noisy = np.clip(base.astype(int) + rng.integers(-6, 7, base.shape), 0, 255).astype(np.uint8)
+    far = rng.integers(0, 256, base.shape, dtype=np.uint8)
+    bits = lambda a, b: int(np.bitwise_count(np.frombuffer(media.cosine_hash(a[:, :, None]), np.uint8) ^ np.frombuffer(media.cosine_hash(b[:, :, None]), np.uint8)).sum())
+    assert bits(base, noisy) <= 6 < bits(base, far)
+    assert bits(base, base.repeat(2, axis=0).repeat(2, axis=1)) <= 2
+
+
+def test_cosine_transform_against_sums():
+    rng = np.random.default_rng(2)
+    x = rng.random((32, 32))
+    low = media._COS @ x @ media._COS.T
+    want = [[sum(x[a, b] * np.cos(np.pi / 32 * (a + 0.5) * u) * np.cos(np.pi / 32 * (b + 0.5) * v) for a in range(32) for b in range(32)) for v in range(3)] for u in range(3)]
+    assert np.allclose(low[:3, :3], want)
+
+
+def test_pages_become_pictures_and_back(spark):
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    made = media.with_pictures(pages).collect()
+    texts = {r.page_id: r.html.encode() for r in pages.collect()}
+    for r, px in zip(made, media.decode_all([r.image for r in made])):
+        assert px.tobytes().rstrip(b"\x00") == texts[r.page_id].rstrip(b"\x00")

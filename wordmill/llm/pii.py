@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from .tokens import text_bytes
+from .tokens import BLOCK, ROWS, text_bytes
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
 TAGS = ["O"] + [p + k for k in KINDS for p in ("B-", "I-")]
@@ -376,11 +376,18 @@ def _whole(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
 
 def find(p: dict, texts: pa.Array) -> list[tuple[int, int, int, str]]:
     """(row, start, end, kind) of every span, in characters, ordered, not overlapping."""
+    found = []
+    for first in range(0, len(texts), ROWS):
+        found += [(first + r, *span) for r, *span in _find(p, texts.slice(first, ROWS))]
+    return found
+
+
+def _find(p: dict, texts: pa.Array) -> list[tuple[int, int, int, str]]:
     data, off = text_bytes(texts, lower=False)
     found: list[tuple[int, int, int, str]] = []
     lo = 0
-    while lo < len(off) - 1:  # a block of rows of about a megabyte at a time
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), side="right")) - 1)
+    while lo < len(off) - 1:  # a block of rows at a time
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, side="right")) - 1)
         seg, rel = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         hits = np.flatnonzero(_DIGIT_OR_AT[seg])
         if len(hits):
@@ -443,7 +450,7 @@ def mask_private(docs: DataFrame, model: dict | None = None) -> DataFrame:
     at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def mask(batches):
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts, by = b.column(at), {}
             for r, s, e, kind in find(p, texts):
                 by.setdefault(r, []).append((s, e, kind))

@@ -56,6 +56,7 @@ def _anchor_rows(window: int):
 
 def covered(anchor_at: np.ndarray, words: int, window: int, gram: int = GRAM) -> np.ndarray:
     """Whether the window that starts at each of ``words`` words holds one of the anchors."""
+    anchor_at = anchor_at[anchor_at < words]  # a longer text may have the same doc_id
     step = np.zeros(words + 1, dtype=np.int64)
     np.add.at(step, np.maximum(anchor_at - (window - gram), 0), 1)
     np.add.at(step, np.minimum(anchor_at + 1, words), -1)

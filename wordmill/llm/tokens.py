@@ -1,8 +1,8 @@
 """Words of whole texts as 64-bit hashes, computed by numpy over Arrow buffers.
 
 A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the lower-cased text. Its hash
-is a polynomial over its UTF-8 bytes, mixed. Nothing is computed row by row: one block of about a megabyte of text
-is a handful of array operations. A text longer than a block is cut between words, so memory beyond its word
+is a polynomial over its UTF-8 bytes, mixed. Nothing is computed row by row: one block of about half a megabyte of
+text is a handful of array operations. A text longer than a block is cut between words, so memory beyond its word
 hashes does not grow with its length.
 """
 
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+#: Bytes of text in a block, and rows that are lower-cased and copied at once.
+BLOCK, ROWS = 1 << 19, 1024
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _Q = 0xD1342543DE82EF95
@@ -78,7 +79,14 @@ def _words(seg: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def word_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, word hashes, offsets of each row's words) for blocks that cover all rows."""
-    data, off = text_bytes(texts)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    for first in range(0, len(texts), ROWS):
+        for lo, hi, h, off in _row_blocks(*text_bytes(texts.slice(first, ROWS))):
+            yield first + lo, first + hi, h, off
+
+
+def _row_blocks(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, side="right")) - 1)

@@ -16,25 +16,27 @@ from .tokens import signed, word_blocks
 LABELLED_ROWS = 4096
 #: A term is a feature when it is in MIN_ROWS training rows or more and either its two-proportion z statistic against
 #: the label reaches MIN_Z or a share of COMMON of the rows hold it: common terms may matter only in pairs.
-MIN_ROWS, MIN_Z, COMMON = 3, 4.5, 0.02
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 10, 64, 0.1, 1e-3
+MIN_ROWS, MIN_Z, COMMON = 3, 4.5, 0.1
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 10, 64, 0.1, 3e-3
 THRESHOLD = 0.5
 
 
 @dataclass
 class Model:
-    """Sorted term hashes, their linear weights and factor vectors, and the bias."""
+    """Sorted term hashes, their linear weights and factor vectors, the bias, and the share of toxic training rows."""
 
     terms: np.ndarray
     linear: np.ndarray
     factors: np.ndarray
     bias: float
+    rate: float
 
     def scores(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Probability of being toxic for each row of word hashes; a term counts once a row."""
+        """Score of each row of word hashes; a term counts once a row. Without a known term there is nothing to go by:
+        the score is the share of toxic training rows."""
         n = len(off) - 1
         if not len(self.terms) or not len(h):
-            return np.full(n, _sigmoid(self.bias))
+            return np.full(n, self.rate)
         at = np.searchsorted(self.terms, h)
         at[at == len(self.terms)] = 0
         known = self.terms[at] == h
@@ -45,7 +47,7 @@ class Model:
         total = self.bias + np.bincount(row, self.linear[at], n)
         for f in range(v.shape[1]):
             total += 0.5 * (np.bincount(row, v[:, f], n) ** 2 - np.bincount(row, v[:, f] ** 2, n))
-        return _sigmoid(total)
+        return np.where(np.bincount(row, minlength=n) > 0, _sigmoid(total), self.rate)
 
 
 def _sigmoid(x):
@@ -66,9 +68,11 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     that both classes count alike. With one class only, or no rows, the model is the constant rate."""
     y = np.asarray(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 6.0 if len(y) and y[0] else -6.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 0.0, float(len(y) and y[0]))
     rng = np.random.default_rng(seed)
     terms = _features(rows, y)
+    if not len(terms):
+        return Model(terms, np.zeros(0), np.zeros((0, FACTORS)), 0.0, float(y.mean()))
     ids = [np.searchsorted(terms, r[np.isin(r, terms)]) for r in rows]
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, v, b = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)), 0.0
@@ -92,10 +96,10 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
             gw[used] += dw**2
             w[used] -= RATE * dw / np.sqrt(gw[used])
             gv[used] += dv**2
-            v[used] -= 0.2 * RATE * dv / np.sqrt(gv[used])
+            v[used] -= 0.5 * RATE * dv / np.sqrt(gv[used])
             gb += err.sum() ** 2
             b -= RATE * err.sum() / np.sqrt(gb)
-    return Model(terms, w, v, float(b))
+    return Model(terms, w, v, float(b), float(y.mean()))
 
 
 def _terms(batches):
@@ -132,8 +136,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     Features are the distinct words of the text, by hash, that occur in three training rows or more; the score adds
     their weights and, for every pair, the product of their factor vectors. A row with a null doc_id or text isn't
-    scored; an empty text has the score of the bias, which balanced training keeps under the threshold unless all
-    labels are toxic. Repeated rows are scored each. Extra columns are never read. With empty ``labels`` nothing is
+    scored; a text without a known term, such as an empty one, has the share of toxic training rows as its score. Repeated rows are scored each. Extra columns are never read. With empty ``labels`` nothing is
     toxic."""
     model = train(docs, labels)
 
