@@ -99,7 +99,8 @@ def _found(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.round("score", 6).alias("score"))
 
 
-_ALL = SearchOptions(limit=100_000)
+_ALL = SearchOptions(limit=100_000, enable_cache=False)
+_ONCE = SearchOptions(enable_cache=False)
 
 # Tokenizers
 
@@ -198,7 +199,7 @@ def structured_documents(spark, d):
 
 
 def _set(spark, d, query: str) -> DataFrame:
-    return _engine(spark, d).search(query, _ALL).select("doc_id")
+    return _engine(spark, d).rank(query, _ALL).select("doc_id")
 
 
 @_query(f"{_STATS} SELECT doc_id FROM tf WHERE term = 'the'")
@@ -241,21 +242,21 @@ def match_prefix(spark, d):
 
 @_query(_search_sql(["of", "the"], _all_of(["of", "the"])))
 def search(spark, d):
-    return _found(_engine(spark, d).search("the of"))
+    return _found(_engine(spark, d).search("the of", _ONCE))
 
 
 @_query(_search_sql(["and", "of", "the", "to"], _any_of(["and", "of", "the", "to"])))
 def search_or(spark, d):
-    return _found(_engine(spark, d).search("the OR of OR and OR to"))
+    return _found(_engine(spark, d).search("the OR of OR and OR to", _ONCE))
 
 
 @_query(_search_sql(["of", "the"], _phrase_docs("of", "the"), "3.0"))
 def search_phrase(spark, d):
-    return _found(_engine(spark, d).search_phrase("of the"))
+    return _found(_engine(spark, d).search('"of the"', _ONCE))
 
 
 def _breakdown(spark, d) -> DataFrame:
-    return _engine(spark, d).search("the OR of OR and", SearchOptions(limit=100_000, explain=True))
+    return _engine(spark, d).search("the OR of OR and", SearchOptions(limit=100_000, explain=True, enable_cache=False))
 
 
 def _part(name: str) -> str:
@@ -284,7 +285,7 @@ def combined_score(spark, d):
 
 @_query(f"{_STATS} SELECT doc_id, max(3.0) AS phrase FROM ({_phrase_docs('in', 'the')}) GROUP BY doc_id".replace("max(3.0)", "CAST(max(3.0) AS DOUBLE)"))
 def phrase_score(spark, d):
-    hits = _engine(spark, d).search('"in the"', SearchOptions(limit=100_000, explain=True))
+    hits = _engine(spark, d).search('"in the"', SearchOptions(limit=100_000, explain=True, enable_cache=False))
     return hits.select("doc_id", F.col("score_breakdown.phrase").alias("phrase"))
 
 
@@ -322,7 +323,7 @@ FROM top JOIN (SELECT *, sum(strlen(p)) OVER (PARTITION BY doc_id ORDER BY i) AS
 WHERE lower(p) IN ('the', 'of') GROUP BY top.doc_id"""
 )
 def match_positions(spark, d):
-    hits = _engine(spark, d).search("the of")
+    hits = _engine(spark, d).search("the of", _ONCE)
     spans = F.transform("match_positions", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return hits.select("doc_id", F.array_join(spans, " ").alias("spans"), F.array_join("matched_terms", " ").alias("terms"))
 
@@ -352,7 +353,7 @@ def merged_spans(spark, d):
 
 @_query(f"{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS ({_top()}) SELECT top.doc_id, score, lang, source FROM top LEFT JOIN documents USING (doc_id)")
 def attached_documents(spark, d):
-    hits = _found(_engine(spark, d).search("the of"))
+    hits = _found(_engine(spark, d).search("the of", _ONCE))
     return attach_documents(hits, _docs(spark, d)).select("doc_id", "score", "item.lang", "item.source")
 
 
@@ -362,7 +363,7 @@ SELECT doc_id, 'and:document satisfies AND of 2 clauses|term:document contains t
   || '|score:ranking bonus from proximity: ' || printf('%.4f', proximity) || '|score:ranking bonus from coverage: ' || printf('%.4f', coverage) AS reasons FROM top"""
 )
 def explain(spark, d):
-    hits = _engine(spark, d).explain("the of")
+    hits = _engine(spark, d).explain("the of", _ONCE)
     return hits.select("doc_id", F.array_join(F.transform("match_reasons", lambda r: F.concat_ws(":", r["code"], r["message"])), "|").alias("reasons"))
 
 
@@ -458,7 +459,7 @@ GROUP BY term, df, total_tf ORDER BY score DESC, doc_frequency DESC, term LIMIT
 )
 def related_terms(spark, d):
     engine = _engine(spark, d)
-    hits = engine.search("the of", SearchOptions(enable_cache=False)).select("doc_id", "score", F.lit(0).alias("place"))
+    hits = engine.rank("the of").select("doc_id", "score", F.lit(0).alias("place"))
     return engine.related(hits, set(query_terms("the of")), 25).select("term", F.round("score", 6).alias("score"), "doc_frequency", "total_frequency")
 
 

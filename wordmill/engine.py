@@ -113,6 +113,13 @@ class Engine:
                 self._results.popitem(last=False)[1].unpersist()
         return found
 
+    def rank(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+        """Only (doc_id, score) of the search: the texts of the returned documents are not read again."""
+        plan = self._plan(query, options)
+        if plan is None:
+            return self.spark.createDataFrame([], "doc_id long, score double")
+        return self._scored(plan, self._matched(plan.relevant, plan.pinyin)).select("doc_id", "score")
+
     def search_pinyin(self, query: str) -> DataFrame:
         return self.search(query, SearchOptions(use_pinyin=True))
 
@@ -336,10 +343,7 @@ class Engine:
             return self.spark.createDataFrame([], RELATED)
         own = set(q.include_terms(self.parser.parse(query).root, self._prefix_terms)) | set(q.query_terms(query))
         options = SearchOptions(fuzzy=True, use_pinyin=True, limit=min(max(limit * 3, 10), 50), enable_cache=False)
-        plan = self._plan(query, options)
-        if plan is None:
-            return self.spark.createDataFrame([], RELATED)
-        best = self._scored(plan, self._matched(plan.relevant, plan.pinyin)).select("doc_id", "score")
+        best = self.rank(query, options)
         by = Window.orderBy(F.desc(F.round("score", 6)), "doc_id")  # over ``limit`` rows
         hits = best.withColumn("place", F.row_number().over(by))
         return self.related(hits, own, limit)
@@ -347,10 +351,10 @@ class Engine:
     def related(self, hits: DataFrame, own: set[str], limit: int) -> DataFrame:
         """Related terms of ranked ``hits(doc_id, score, place)``, 50 at most."""
         kept = is_related(F.col("term")) & ~F.col("term").isin(sorted(own))
-        here = self.index.doc_tf.join(F.broadcast(hits), "doc_id").where(kept)
-        here = here.select("doc_id", "term", "tf", "score", "place")
-        names = here.select("term").distinct()
-        stats = self.index.doc_tf.join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+        # only the texts of the hits are tokenized for their terms
+        few = Index(self.index.docs.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi"))
+        here = few.doc_tf.where(kept).join(F.broadcast(hits), "doc_id").select("doc_id", "term", "tf", "score", "place")
+        stats = self.index.stats_of(here.select("term").distinct())
         rows = here.join(stats, "term").crossJoin(F.broadcast(self.index.corpus.select("doc_count")))
         gain = F.col("score") * F.log1p(F.col("tf")) * (F.log((F.col("doc_count") + 1.0) / (F.greatest("df", F.lit(1)) + 1.0)) + 1.0)
         parts = F.sort_array(F.collect_list(F.struct("place", "doc_id", gain.alias("gain"))))

@@ -156,7 +156,7 @@ class Index:
         return self.corpus.first().avg_doc_length
 
     def term_count(self) -> int:
-        return self.postings.select("term").distinct().count()
+        return self.vocabulary.count()
 
     def term_freq_in_doc(self, term: str, doc_id: int) -> int:
         return self._only(doc_id).occurrences.where(F.col("term") == term).count()
@@ -164,12 +164,24 @@ class Index:
     def document_term_frequencies(self, doc_id: int) -> DataFrame:
         return self._only(doc_id).doc_tf.select("term", "tf")
 
+    @property
+    def _names(self) -> DataFrame:
+        return (self.occurrences if self._postings is None else self._postings).select("term")
+
     @property
     def vocabulary(self) -> DataFrame:
-        return self.postings.select("term").distinct()
+        return self._names.distinct()
+
+    def stats_of(self, terms: DataFrame) -> DataFrame:
+        """``term_stats`` of some terms: the others' tokens are dropped before any shuffle of theirs by document."""
+        if self._postings is not None:
+            rows = self._postings.join(terms, "term", "left_semi")
+            return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("total_tf"))
+        counts = self.occurrences.join(terms, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
     def terms_with_prefix(self, prefix: str, limit: int | None = None) -> DataFrame:
-        found = self.postings.where(F.col("term").startswith(prefix)).select("term").distinct()
+        found = self._names.where(F.col("term").startswith(prefix)).distinct()
         return found if limit is None else found.orderBy("term").limit(limit)
 
     def persist(self) -> Index:
