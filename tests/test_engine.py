@@ -5,8 +5,8 @@ from wordmill.engine import Engine, is_related
 from wordmill.errors import QueryTooLong, TooManyTerms
 from wordmill.options import Bm25Params, HighlighterConfig, Limits, SearchOptions
 
-CITIES = ["我爱北京天安门，天安门上太阳升", "上海是一个国际化大都市", "北京是中国的首都"]
-LANGUAGES = ["Rust and Python are great languages", "Python is easy to learn", "Rust is memory safe"]
+CITIES = ["他住北京大前门，小前门里月亮圆", "广州是南方的一座大城市", "北京有很多古建筑"]
+LANGUAGES = ["Rust and Python make good company", "Python is simple to read", "Rust is quite safe"]
 
 
 @pytest.fixture(scope="module")
@@ -32,11 +32,11 @@ def ids(df):
     [
         (tuple(CITIES), "北京", [2, 0]),
         (tuple(LANGUAGES), "Rust AND Python", [0]),
-        (("Rust programming language", "Python programming language", "JavaScript programming language"), "programming -Python", [0, 2]),
-        (("only rust here", "only python here"), "rust OR python", [0, 1]),
-        (("hello world", "hello there", "world alone"), "hello world", [0]),
-        (("I love rust programming", "rust is great for programming"), '"rust programming"', [0]),
-        (("rust alpha", "python beta", "rust python gamma"), "rust AND python", [2]),
+        (("Rust programming guide", "Python programming guide", "Zig programming guide"), "programming -Python", [0, 2]),
+        (("just rust here", "just python here"), "rust OR python", [0, 1]),
+        (("hello moon", "hello there", "moon alone"), "hello moon", [0]),
+        (("we like rust programming", "rust is good for programming"), '"rust programming"', [0]),
+        (("rust one", "python two", "rust python three"), "rust AND python", [2]),
         (("apple pie", "apple tart", "banana"), "app* -pie", [1]),
         (("a b", "b c"), "-a", []),
         (("a b", "b c"), "NOT b", []),
@@ -54,8 +54,8 @@ def test_boolean_search(made, texts, query, want):
     ("texts", "query", "doc", "parts"),
     [
         (tuple(LANGUAGES), "Rust AND Python", 0, (0.868914, 0.243804, 0.173783, 0.0, 1.286501)),
-        (("I love rust programming", "rust is great for programming"), '"rust programming"', 0, (0.382007, 0.297796, 0.076401, 3.0, 3.756204)),
-        (("I love rust programming", "rust is great for programming"), "rust programming", 1, (0.348789, 0.116929, 0.069758, 0.0, 0.535476)),
+        (("we like rust programming", "rust is good for programming"), '"rust programming"', 0, (0.382007, 0.297796, 0.076401, 3.0, 3.756204)),
+        (("we like rust programming", "rust is good for programming"), "rust programming", 1, (0.348789, 0.116929, 0.069758, 0.0, 0.535476)),
         (("hello world hello", "foo bar baz"), "hello", 0, (0.953077, 0.0, 0.190615, 0.0, 1.143693)),
         (tuple(CITIES), "北京", 0, (1.280236, 0.25996, 0.256047, 0.0, 1.796243)),
         (tuple(CITIES), "北京", 2, (1.594762, 0.253954, 0.318952, 0.0, 2.167669)),
@@ -78,7 +78,7 @@ def test_chinese_phrases_match_at_the_end_of_a_run(made):
 
 
 def test_fuzzy_search(made):
-    e = made("programming in Rust", "writing Python code")
+    e = made("programming with Zig", "drawing some maps")
     rows = e.search_fuzzy("programing", 2).collect()
     assert [(r.doc_id, r.matched_terms, [tuple(p) for p in r.match_positions]) for r in rows] == [(0, ["programming"], [(0, 11)])]
     assert ids(e.search("programing~2")) == []
@@ -86,7 +86,7 @@ def test_fuzzy_search(made):
 
 
 def test_pinyin(made):
-    e = made("编程语言 Rust 很强大", "Python 数据分析")
+    e = made("编程语言 Zig 很有趣", "Python 图表")
     assert ids(e.search_pinyin("biancheng")) == [0]
     assert ids(e.search("pinyin:biancheng")) == []
     assert ids(e.search("pinyin:biancheng", SearchOptions(strict_compat=False))) == [0]
@@ -95,15 +95,15 @@ def test_pinyin(made):
 
 
 def test_highlight(made):
-    e = made("Rust 是一门现代系统编程语言，注重内存安全", "schpfö and more")
-    assert e.search("编程语言", SearchOptions(highlight=True)).first().snippet == "Rust 是一门现代系统<em>编程语言</em>，注重内存安全"
+    e = made("Zig 是一门年轻系统编程语言，强调简单", "schpfö and more")
+    assert e.search("编程语言", SearchOptions(highlight=True)).first().snippet == "Zig 是一门年轻系统<em>编程语言</em>，强调简单"
     assert e.search("ö", SearchOptions(highlight=True)).first().snippet == "schpf<em>ö</em> and more"
     marked = made("a b a", highlighter=HighlighterConfig("[", "]"))
     assert marked.search("a", SearchOptions(highlight=True)).first().snippet == "[a] b [a]"
 
 
 def test_explanations(made):
-    e = made("Rust programming language", "prefix programs here", "other words")
+    e = made("Rust programming language", "some programs here", "other words")
     row = e.explain("program* -language").first()
     assert [(r.code, r.message, list(r.terms)) for r in row.match_reasons][:3] == [
         ("and", "document satisfies AND of 1 clauses", []),
@@ -131,15 +131,15 @@ def test_refusals(made):
 
 
 def test_batch(made):
-    rows = made("Rust systems programming", "Python data science", "Go concurrent programming").batch_search(["rust", "python", "java"]).collect()
+    rows = made("Rust kernel work", "Python data plots", "Go network work").batch_search(["rust", "python", "java"]).collect()
     assert [(r.query_id, r.doc_id) for r in rows] == [(0, 0), (1, 1)]
 
 
 def test_suggestions(made):
-    e = made("programming in Rust", "programming in Python", "Rust language")
+    e = made("programming in Zig", "programming in Lua", "Zig manual")
     assert [r.term for r in e.suggest("PRO").collect()] == ["programming"]
-    assert [r.term for r in e.suggest("").collect()] == ["in", "programming", "rust", "language", "python"]
-    r = made("React hooks useSearch worker search reindex", "React worker keeps search off the main thread", "Rust backend BM25 indexing and scoring")
+    assert [r.term for r in e.suggest("").collect()] == ["in", "programming", "zig", "lua", "manual"]
+    r = made("React hooks queue worker search rebuild", "React worker keeps search off another thread", "Rust server text indexing and scoring")
     rows = r.suggest_related("react search", 5).collect()
     assert rows[0].term == "worker" and rows[0].source_doc_ids == [0, 1] and len(rows) == 5
     assert not {"react", "search"} & {x.term for x in rows} and all(x.score > 0 for x in rows)

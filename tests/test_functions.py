@@ -112,9 +112,9 @@ def test_merged_spans(spark):
 
 
 def test_highlighting_runs_of_chinese(spark):
-    df = spark.createDataFrame([(0, "我爱北京天安门，天安门上太阳升"), (1, "x")], "doc_id long, text string")
-    row = highlight.highlight(df, ["北京", "天安门"]).collect()
-    assert [(r.doc_id, r.highlighted, r.start, r.end) for r in row] == [(0, "我爱<em>北京</em><em>天安门</em>，<em>天安门</em>上太阳升", 6, 33)]
+    df = spark.createDataFrame([(0, "他住北京大前门，小前门里月亮圆"), (1, "x")], "doc_id long, text string")
+    row = highlight.highlight(df, ["北京", "前门"]).collect()
+    assert [(r.doc_id, r.highlighted, r.start, r.end) for r in row] == [(0, "他住<em>北京</em>大<em>前门</em>，小<em>前门</em>里月亮圆", 6, 33)]
 
 
 def test_proximity_is_of_the_closest_places(spark):
