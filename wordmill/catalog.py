@@ -64,7 +64,7 @@ def _in(terms: list[str]) -> str:
 def _scores(terms: list[str], docs: str, phrase: str = "0.0", tag: str = "") -> str:
     """CTE ``scored``: the parts of the score of the documents that ``docs`` selects."""
     return f"""
-bm{tag} AS (SELECT doc_id, count(*) AS matched, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
+bm{tag} AS (SELECT doc_id, count(*) AS matched, sum(ln(1 + (n + 0.5 - df) / (0.5 + df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
        FROM tf JOIN df USING (term) JOIN dlen USING (doc_id) CROSS JOIN corpus WHERE term IN ({_in(terms)}) GROUP BY doc_id),
 near{tag} AS (SELECT a.doc_id, min(abs(a.pos - b.pos)) AS gap FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.term < b.term
          WHERE a.term IN ({_in(terms)}) AND b.term IN ({_in(terms)}) GROUP BY a.doc_id, a.term, b.term),
@@ -395,7 +395,7 @@ _NEAR = [f"near{k} AS (SELECT term FROM (SELECT term, levenshtein(term, '{t}') A
 @_query(
     f"""{_STATS}, {", ".join(_NEAR)}, q AS (SELECT term FROM near0 UNION SELECT term FROM near1 UNION SELECT 'thorin' UNION SELECT 'wither'),
 hit AS (SELECT doc_id FROM tf WHERE term IN (SELECT term FROM near0) OR term = 'thorin' INTERSECT SELECT doc_id FROM tf WHERE term IN (SELECT term FROM near1) OR term = 'wither'),
-b AS (SELECT doc_id, count(*) AS matched, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
+b AS (SELECT doc_id, count(*) AS matched, sum(ln(1 + (n + 0.5 - df) / (0.5 + df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
       FROM tf JOIN df USING (term) JOIN dlen USING (doc_id) CROSS JOIN corpus WHERE term IN (SELECT term FROM q) AND doc_id IN (SELECT doc_id FROM hit) GROUP BY doc_id)
 SELECT doc_id, round(bm25 + matched / (SELECT count(*) FROM q) * bm25 * 0.2, 6) AS score FROM b ORDER BY 2 DESC, 1 LIMIT 20"""
 )

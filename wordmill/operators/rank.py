@@ -13,7 +13,7 @@ PROXIMITY_TERMS = range(2, 17)
 
 
 def idf(df: Column, n: Column) -> Column:
-    return F.when(df > 0, F.log((n - df + 0.5) / (df + 0.5) + 1.0)).otherwise(F.lit(0.0))
+    return F.when(df > 0, F.log1p((n + 0.5 - df) / (0.5 + df))).otherwise(F.lit(0.0))
 
 
 def bm25_part(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, params: Bm25Params = Bm25Params()) -> Column:
