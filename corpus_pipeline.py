@@ -1,4 +1,9 @@
-"""Cleaning of a training corpus, stage by stage; each stage is written and read again before the next one."""
+"""Cleaning of a training corpus, stage by stage; each stage is written and read again before the next one.
+
+A row with a null doc_id or a null text passes the filtering stages unchanged and is not packed, nor is a text without a
+word. Rows that repeat a doc_id share the fate of the id in deduplication and decontamination; each of them is scored,
+masked and packed by itself. Columns beside doc_id, text and n_chars are carried along and never read, whatever their
+names. With empty ``labels`` or ``benchmark`` their stages keep every row; an empty table gives an empty result."""
 
 from __future__ import annotations
 
