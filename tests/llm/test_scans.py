@@ -47,6 +47,17 @@ def test_constant_labels_give_a_constant_model(y):
     assert (p > 0.5).tolist() == [bool(y and y[0])] * 2
 
 
+def test_texts_without_a_known_term_stay_at_full_label_tables(spark):
+    """With LABELLED_ROWS labels of either class, as many are drawn of each: that must not flag unknown texts."""
+    n = toxicity.LABELLED_ROWS
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", "if(id % 2 = 0, 'awful words here', 'lovely words here') AS text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, 1, 0) AS toxic")
+    more = spark.createDataFrame([(-1, "never seen"), (-2, ""), (-3, "awful words here")], "doc_id long, text string")
+    both = docs.union(more)
+    assert {r.doc_id for r in toxicity.toxic_documents(both, labels).where("doc_id < 0").collect()} == {-3}
+    assert {r.doc_id for r in toxicity.drop_toxic(both, labels).where("doc_id < 0").collect()} == {-1, -2}
+
+
 # Licenses
 
 

@@ -19,24 +19,27 @@ LABELLED_ROWS = 4096
 MIN_ROWS, MIN_Z, COMMON = 3, 4.5, 0.1
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 10, 64, 0.1, 3e-3
 THRESHOLD = 0.5
+#: Score of a text without a known term: below any threshold, whatever the shares of the labels.
+UNKNOWN = 0.0
 
 
 @dataclass
 class Model:
-    """Sorted term hashes, their linear weights and factor vectors, the bias, and the share of toxic training rows."""
+    """Sorted term hashes, their linear weights and factor vectors, the bias, and the score of a row without a known
+    term."""
 
     terms: np.ndarray
     linear: np.ndarray
     factors: np.ndarray
     bias: float
-    rate: float
+    unknown: float
 
     def scores(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Score of each row of word hashes; a term counts once a row. Without a known term there is nothing to go by:
-        the score is the share of toxic training rows."""
+        the score is the model's ``unknown``."""
         n = len(off) - 1
         if not len(self.terms) or not len(h):
-            return np.full(n, self.rate)
+            return np.full(n, self.unknown)
         at = np.searchsorted(self.terms, h)
         at[at == len(self.terms)] = 0
         known = self.terms[at] == h
@@ -47,7 +50,7 @@ class Model:
         total = self.bias + np.bincount(row, self.linear[at], n)
         for f in range(v.shape[1]):
             total += 0.5 * (np.bincount(row, v[:, f], n) ** 2 - np.bincount(row, v[:, f] ** 2, n))
-        return np.where(np.bincount(row, minlength=n) > 0, _sigmoid(total), self.rate)
+        return np.where(np.bincount(row, minlength=n) > 0, _sigmoid(total), self.unknown)
 
 
 def _sigmoid(x):
@@ -65,14 +68,15 @@ def _features(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     """Train on distinct word hashes of each row and its label, by Adagrad on the logistic loss. Rows are weighted so
-    that both classes count alike. With one class only, or no rows, the model is the constant rate."""
+    that both classes count alike. With one class only the model is the constant of that class, and without
+    rows nothing is toxic; a row without a known term scores UNKNOWN otherwise."""
     y = np.asarray(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 0.0, float(len(y) and y[0]))
     rng = np.random.default_rng(seed)
     terms = _features(rows, y)
     if not len(terms):
-        return Model(terms, np.zeros(0), np.zeros((0, FACTORS)), 0.0, float(y.mean()))
+        return Model(terms, np.zeros(0), np.zeros((0, FACTORS)), 0.0, UNKNOWN)
     ids = [np.searchsorted(terms, r[np.isin(r, terms)]) for r in rows]
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, v, b = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)), 0.0
@@ -99,7 +103,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
             v[used] -= 0.5 * RATE * dv / np.sqrt(gv[used])
             gb += err.sum() ** 2
             b -= RATE * err.sum() / np.sqrt(gb)
-    return Model(terms, w, v, float(b), float(y.mean()))
+    return Model(terms, w, v, float(b), UNKNOWN)
 
 
 def _terms(batches):
@@ -136,8 +140,9 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     Features are the distinct words of the text, by hash, that occur in three training rows or more; the score adds
     their weights and, for every pair, the product of their factor vectors. A row with a null doc_id or text isn't
-    scored; a text without a known term, such as an empty one, has the share of toxic training rows as its score. Repeated rows are scored each. Extra columns are never read. With empty ``labels`` nothing is
-    toxic."""
+    scored; a text without a known term, such as an empty one, scores UNKNOWN, whatever the number of labels of
+    either class. Repeated rows are scored each. Extra columns are never read. With empty ``labels`` nothing is toxic,
+    with labels of one class only every text is of that class."""
     model = train(docs, labels)
 
     def score(batches):
