@@ -18,9 +18,10 @@ TAGS = ["O"] + [p + k for k in KINDS for p in ("B-", "I-")]
 K, D, H = len(TAGS), 16, 24
 #: Characters of a window and its stride; characters that a CRF chunk decodes, and those it shares with each neighbour.
 WINDOW, STRIDE, CHUNK, OVERLAP = 96, 48, 1024, 128
-#: Every kind has a digit or an @ in it and ends within REACH bytes of one. A window without either decodes to
-#: nothing, so only the surroundings of digits and @ are put through the network.
-REACH = 64
+#: Characters of a long text that are decoded at once, beside a MARGIN of context on either side. Both are multiples of
+#: STRIDE and of CHUNK - OVERLAP, so windows and chunks lie as if the text were decoded in one go.
+MARGIN = 2688
+PIECE = 64 * MARGIN
 STEPS, BATCH, RATE, SEED = 700, 48, 0.012, 11
 N_CHARS = 100
 _NEVER = -30.0
@@ -39,6 +40,7 @@ def char_ids(codes: np.ndarray) -> np.ndarray:
 
 _SYLLABLES = "an er th in on re ed ti es or st en at nd ea ou ha is it to ing ly ble tion ment qui aux eau ción osa lich keit sch ung für ñó ça über ent da mo ra el".split()
 _HEX = "0123456789abcdef"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _digits(rng, n):
@@ -78,11 +80,14 @@ def _private(rng, kind):
     if r == 0:
         return "", "AKIA" + _draw(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), ""
     value = _draw(rng, _HEX, 40 if r == 1 else int(rng.integers(16, 41)))
+    if rng.random() < 0.4:  # letters only
+        n = int(rng.integers(8, 33))
+        value = [_draw(rng, _LETTERS[:26], n), _draw(rng, _LETTERS, n), "".join(_plain(rng) for _ in range(6))[:n].ljust(8, "e")][rng.integers(0, 3)]
     return (f'{name} = "', value, '"') if r < 3 else (f"{name}=", value, "")
 
 
 def _harmless(rng):
-    """Digits that are no private data."""
+    """Digits, and values of attributes, that are no private data."""
     return [
         lambda: _digits(rng, int(rng.integers(1, 6))),
         lambda: f"{_digits(rng, 1)}.{_digits(rng, 1)}",
@@ -97,13 +102,15 @@ def _harmless(rng):
         lambda: f"CC BY-NC {_digits(rng, 1)}.0.",
         lambda: f"{_digits(rng, 2)}:{_digits(rng, 2)}",
         lambda: f"http://{_plain(rng)}.com/{_digits(rng, 3)}?p={_digits(rng, 1)}",
-    ][rng.integers(0, 13)]()
+        lambda: f'{_plain(rng)}="{_word(rng)} {_word(rng)}"',
+        lambda: f"{_plain(rng)} = {_word(rng)}",
+    ][rng.integers(0, 15)]()
 
 
 def labelled_text(rng: np.random.Generator, length: int = WINDOW) -> tuple[str, list[tuple[int, int, str]]]:
     """An invented text of at least ``length`` characters and its spans (start, end, kind)."""
     text, spans = "", []
-    junk = rng.random() < 0.2
+    junk, shout = rng.random() < 0.2, rng.random() < 0.12
     while len(text) < length:
         u = rng.random()
         if u < 0.2:
@@ -114,8 +121,11 @@ def labelled_text(rng: np.random.Generator, length: int = WINDOW) -> tuple[str,
         elif u < 0.32:
             text += _harmless(rng)
         else:
-            w = _word(rng)
-            text += w.capitalize() if rng.random() < 0.15 else w
+            w = _word(rng) + (_word(rng) if rng.random() < 0.15 else "")
+            if shout or rng.random() < 0.04:
+                text += w.upper() + ["!!", "!", "", ","][rng.integers(0, 4)]
+            else:
+                text += w.capitalize() if rng.random() < 0.15 else w
         if junk:
             text += ["%%%", "###", "$$$", "&&&", "***"][rng.integers(0, 5)]
         elif rng.random() < 0.15:
@@ -189,6 +199,39 @@ def emissions(p: dict, x: np.ndarray, keep: bool = False):
     return h @ p["Wo"] + p["bo"], (h, sf, sb, xt)
 
 
+def _states(table: np.ndarray, u: np.ndarray, xt: np.ndarray) -> np.ndarray:
+    """What ``_lstm`` puts out, without what training needs: states (time, H, row). ``table`` holds the input's part of
+    the gates by character. A sigmoid is half a hyperbolic tangent of half its argument, plus a half."""
+    half = np.concatenate([np.full(3 * H, 0.5), np.ones(H)]).astype(np.float32)
+    table, u = table * half, np.ascontiguousarray((u * half).T)
+    n = xt.shape[1]
+    a, z, out = np.empty((4 * H, n), np.float32), np.empty((n, 4 * H), np.float32), np.empty((len(xt), H, n), np.float32)
+    h, c, s, g = np.zeros((H, n), np.float32), np.zeros((H, n), np.float32), a[: 3 * H], a[3 * H :]
+    for t in range(len(xt)):
+        np.take(table, xt[t], axis=0, out=z, mode="clip")
+        np.matmul(u, h, out=a)
+        a += z.T
+        np.tanh(a, out=a)
+        s *= 0.5
+        s += 0.5
+        c *= s[H : 2 * H]
+        g *= s[:H]
+        c += g
+        h = out[t]
+        np.tanh(c, out=h)
+        h *= s[2 * H :]
+    return out
+
+
+def tag_scores(p: dict, x: np.ndarray) -> np.ndarray:
+    """``emissions`` of trained networks, as (row, time, tag)."""
+    xt = np.ascontiguousarray(x.T).astype(np.intp)
+    f = _states(p["E"] @ p["Wf"] + p["bf"], p["Uf"], xt)
+    b = _states(p["E"] @ p["Wb"] + p["bb"], p["Ub"], xt[::-1])[::-1]
+    em = np.matmul(p["Wo"][:H].T, f) + np.matmul(p["Wo"][H:].T, b)
+    return em.transpose(2, 0, 1) + p["bo"]
+
+
 def _lstm_back(dh_out, u, saved):
     dz, dh, dc = np.empty((len(saved), dh_out.shape[1], 4 * H), dtype=np.float32), 0.0, 0.0
     du = np.zeros_like(u)
@@ -285,22 +328,27 @@ def default_model(texts: int = 6000, seed: int = SEED) -> dict:
 
 
 def _viterbi(p: dict, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best tags (time, row) of rows padded at their ends."""
-    trans = np.where(ALLOWED, p["T"], _NEVER)
+    """Best tags (time, row) of rows padded at their ends. Predecessors are looked up on the way back only."""
+    trans = np.where(ALLOWED, p["T"], _NEVER).astype(np.float32)
     steps, n, _ = em.shape
-    score = em[0] + p["S"] + np.where(np.arange(K) % 2 + (np.arange(K) == 0) > 0, 0.0, _NEVER)
-    back = np.zeros((steps, n, K), dtype=np.int8)
-    stay = np.arange(K, dtype=np.int8)
+    begin = [0, *range(1, K, 2)]
+    into = np.ascontiguousarray(trans[:, begin])[:, :, None]
+    score = np.empty((steps, K, n), dtype=np.float32)
+    score[0] = em[0].T + (p["S"] + np.where(np.arange(K) % 2 + (np.arange(K) == 0) > 0, 0.0, _NEVER))[:, None]
+    b, i = np.arange(1, K, 2), np.arange(2, K, 2)
+    stay, go = trans[i, i][:, None], trans[b, i][:, None]
     for t in range(1, steps):
-        all_ = score[:, :, None] + trans
-        best = all_.argmax(axis=1)
-        live = (t < lengths)[:, None]
-        back[t] = np.where(live, best, stay)
-        score = np.where(live, np.take_along_axis(all_, best[:, None, :], 1)[:, 0] + em[t], score)
+        s, now = score[t - 1], score[t]
+        now[begin] = (s[:, None, :] + into).max(axis=0)
+        now[2::2] = np.maximum(s[1::2] + go, s[2::2] + stay)
+        now += em[t].T
+        if t >= lengths.min():
+            now[:, t >= lengths] = s[:, t >= lengths]
     tags = np.zeros((steps, n), dtype=np.int8)
-    tags[-1] = score.argmax(axis=1)
+    tags[-1] = score[-1].argmax(axis=0)
     for t in range(steps - 1, 0, -1):
-        tags[t - 1] = back[t, np.arange(n), tags[t]]
+        best = (score[t - 1] + trans[:, tags[t]]).argmax(axis=0)
+        tags[t - 1] = np.where(t < lengths, best, tags[t])
     return tags
 
 
@@ -321,18 +369,17 @@ def decode(p: dict, regions: list[np.ndarray]) -> list[np.ndarray]:
     x = np.concatenate(regions)
     acc, weight = np.zeros((len(x), K), dtype=np.float32), np.zeros((len(x), 1), dtype=np.float32)
     start, end = _grid(lengths, offsets, WINDOW, STRIDE)
-    order = np.argsort(end - start, kind="stable")
-    hat = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for lo in range(0, len(order), 1024):
-        pick = order[lo : lo + 1024]
-        n = end[pick] - start[pick]
-        at = start[pick][:, None] + np.arange(n.max())
-        inside = np.arange(n.max()) < n[:, None]
-        em, _ = emissions(p, np.where(inside, x[np.minimum(at, len(x) - 1)], 0))
-        for t in range(n.max()):
-            live = inside[:, t]
-            acc[at[live, t]] += hat[t] * em[t][live]
-            weight[at[live, t]] += hat[t]
+    hat = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
+    at_once = 256
+    for side in (0, 1):  # every other window of a text: these share no characters
+        mine = np.flatnonzero((start - offsets[np.searchsorted(offsets, start, side="right") - 1]) // STRIDE % 2 == side)
+        for lo in range(0, len(mine), at_once):
+            pick = mine[lo : lo + at_once]
+            at = start[pick][:, None] + np.arange(WINDOW)
+            inside = at < end[pick][:, None]
+            em = tag_scores(p, np.where(inside, x[np.minimum(at, len(x) - 1)], 0)) * hat[:, None]
+            acc[at[inside]] += em[inside]
+            weight[at[inside], 0] += np.broadcast_to(hat, inside.shape)[inside]
     acc /= weight
     tags = np.zeros(len(x), dtype=np.int8)
     start, end = _grid(lengths, offsets, CHUNK, CHUNK - OVERLAP)
@@ -351,9 +398,16 @@ def decode(p: dict, regions: list[np.ndarray]) -> list[np.ndarray]:
     return [tags[o : o + n] for o, n in zip(offsets, lengths, strict=True)]
 
 
-_DIGIT_OR_AT = np.zeros(256, dtype=bool)
-_DIGIT_OR_AT[48:58] = True
-_DIGIT_OR_AT[64] = True
+def _decode_long(p: dict, ids: np.ndarray) -> np.ndarray:
+    """``decode`` of one text, PIECE characters at a time: memory beside ids and tags doesn't grow with its length."""
+    if len(ids) <= PIECE + MARGIN:
+        return decode(p, [ids])[0]
+    tags = np.zeros(len(ids), dtype=np.int8)
+    for s in range(0, len(ids), PIECE):
+        lo, keep = max(0, s - MARGIN), s + OVERLAP // 2 if s else 0
+        got = decode(p, [ids[lo : s + PIECE + MARGIN]])[0]
+        tags[keep : s + PIECE + OVERLAP // 2] = got[keep - lo : s + PIECE + OVERLAP // 2 - lo]
+    return tags
 
 
 def _tag_spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
@@ -388,34 +442,18 @@ def _find(p: dict, texts: pa.Array) -> list[tuple[int, int, int, str]]:
     lo = 0
     while lo < len(off) - 1:  # a block of rows at a time
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, side="right")) - 1)
-        seg, rel = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        hits = np.flatnonzero(_DIGIT_OR_AT[seg])
-        if len(hits):
-            row = np.searchsorted(rel, hits, side="right") - 1
-            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hits[1:] - hits[:-1] > 2 * REACH)]))
-            stop = np.concatenate([new[1:], [len(hits)]]) - 1
-            char = np.cumsum((seg & 0xC0) != 0x80)  # characters up to and with each byte
-            places, regions, strings = [], [], []
-            for a, b in zip(new, stop, strict=True):
-                r = row[a]
-                s, e = max(hits[a] - REACH, rel[r]), min(hits[b] + REACH + 1, rel[r + 1])
-                while s > rel[r] and seg[s] & 0xC0 == 0x80:
-                    s -= 1
-                while e < rel[r + 1] and seg[e] & 0xC0 == 0x80:
-                    e += 1
-                text = seg[s:e].tobytes().decode("utf-8", "replace")
-                before = char[rel[r] - 1] if rel[r] else 0
-                places.append((lo + int(r), int((char[s - 1] if s else 0) - before)))
-                strings.append(text)
-                regions.append(char_ids(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)))
-            for (r, at), text, tags in zip(places, strings, decode(p, regions), strict=True):
-                for a, b, kind in _tag_spans(tags):
-                    a, b = _whole(text, int(a), int(b), kind)
-                    if b - a >= 6 and any(c.isdigit() or c == "@" for c in text[a:b]):
-                        if found and found[-1][0] == r and found[-1][2] > at + a:
-                            a = found[-1][2] - at
-                        if b > a:
-                            found.append((r, at + a, at + b, kind))
+        rows = [k for k in range(lo, hi) if off[k + 1] > off[k]]
+        strings = [data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace") for k in rows]
+        ids = [char_ids(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)) for text in strings]
+        tagged = decode(p, ids) if len(ids) > 1 else [_decode_long(p, x) for x in ids]
+        for r, text, tags in zip(rows, strings, tagged, strict=True):
+            for a, b, kind in _tag_spans(tags):
+                a, b = _whole(text, int(a), int(b), kind)
+                if b - a >= 6 and (kind == "SECRET" or ("@" in text[a:b] if kind == "EMAIL" else any(c.isdigit() for c in text[a:b]))):
+                    if found and found[-1][0] == r and found[-1][2] > a:
+                        a = found[-1][2]
+                    if b > a:
+                        found.append((r, a, b, kind))
         lo = hi
     return found
 
@@ -423,8 +461,8 @@ def _find(p: dict, texts: pa.Array) -> list[tuple[int, int, int, str]]:
 def private_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, start, end, kind) of every span of private data, in characters of the text, end exclusive.
 
-    The model tags each character of the surroundings of a digit or @; spans of under 6 characters or without a digit
-    or @ are dropped. Null doc_id or text and texts without a span give no row; repeated rows give their spans each;
+    The model tags each character of each text; spans of under 6 characters, addresses without an
+    @ and numbers without a digit are dropped; a secret may be of letters only. Null doc_id or text and texts without a span give no row; repeated rows give their spans each;
     extra columns are never read. A text of any length is searched whole."""
     ship(docs.sparkSession)
     p = model or default_model()
