@@ -28,6 +28,22 @@ def test_factorization_machine_learns_pairs():
     assert (p == np.array(y[1600:])).mean() > 0.95
 
 
+@pytest.mark.parametrize("step", [10, 25])
+def test_pairs_of_rare_words_are_learned(step):
+    """As above, but each word is in half of every ``step``-th row: in 5 or 2 % of all. Other labels are random."""
+    rng = np.random.default_rng(0)
+    filler, word = mix(np.arange(100, 400, dtype=np.uint64)), mix(np.arange(1, 5, dtype=np.uint64))
+    rows, y = [], []
+    for k in range(6000):
+        r, a, b = rng.choice(filler, 12), k // step % 2, k // step // 2 % 2
+        rows.append(np.unique(r if k % step else np.concatenate([r, word[[a, 2 + b]]])))
+        y.append(rng.random() < 0.5 if k % step else a == b)
+    model = toxicity.fit(rows[:4000], np.array(y[:4000]))
+    test = [k for k in range(4000, 6000) if k % step == 0]
+    p = model.scores(np.concatenate([rows[k] for k in test]), np.cumsum([0, *(len(rows[k]) for k in test)])) >= 0.5
+    assert (p == np.array([y[k] for k in test])).mean() > 0.95
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     labels = table(spark, d, "labels")

@@ -17,6 +17,9 @@ LABELLED_ROWS = 4096
 #: A term is a feature when it is in MIN_ROWS training rows or more and either its two-proportion z statistic against
 #: the label reaches MIN_Z or a share of COMMON of the rows hold it: common terms may matter only in pairs.
 MIN_ROWS, MIN_Z, COMMON = 3, 4.5, 0.1
+#: So is a term in a share of PAIR_SHARE of the rows or more, when with another such term, in PAIR_ROWS rows or more, its
+#: covariance differs between the classes by PAIR_Z standard errors: 6 leaves about no chance pair among 10 million.
+PAIR_SHARE, PAIR_ROWS, PAIR_Z, PAIR_BLOCK = 0.01, 10, 6.0, 1024
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 10, 64, 0.1, 3e-3
 THRESHOLD = 0.5
 #: Score of a text without a known term: below any threshold, whatever the shares of the labels.
@@ -63,7 +66,46 @@ def _features(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     a, b, n1 = toxic, seen - toxic, y.sum()
     n0, p = len(y) - n1, seen / len(y)
     z = np.abs(a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return every[(seen >= MIN_ROWS) & ((z >= MIN_Z) | (p >= COMMON))]
+    keep = (seen >= MIN_ROWS) & ((z >= MIN_Z) | (p >= COMMON))
+    often = np.flatnonzero((seen >= MIN_ROWS) & (p >= PAIR_SHARE))
+    column = np.full(len(every), -1)
+    column[often] = np.arange(len(often))
+    row, at = np.repeat(np.arange(len(y)), [len(r) for r in rows]), column[back]
+    keep[often[_paired(row[at >= 0], at[at >= 0], len(often), y)]] = True
+    return every[keep]
+
+
+def _paired(row: np.ndarray, column: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
+    """Which of ``n`` columns of ones at (row, column) have a partner that their covariance with tells the classes
+    apart; all pairs are compared, PAIR_BLOCK columns with as many at once."""
+    order = np.argsort(column, kind="stable")
+    row, column, hit = row[order], column[order], np.zeros(n, dtype=bool)
+
+    def block(lo):
+        a, b = np.searchsorted(column, [lo, lo + PAIR_BLOCK])
+        x = np.zeros((len(y), min(PAIR_BLOCK, n - lo)), dtype=np.float32)
+        x[row[a:b], column[a:b] - lo] = 1
+        return x
+
+    for i in range(0, n, PAIR_BLOCK):
+        left = block(i)
+        for j in range(i, n, PAIR_BLOCK):
+            right = left if i == j else block(j)
+            both = apart = error = 0.0
+            for sign, of in ((1, y > 0), (-1, y == 0)):
+                a, b = left[of], right[of]
+                m, q, c = a.mean(axis=0)[:, None], b.mean(axis=0)[None, :], a.T @ b
+                both = both + c
+                c = c / of.sum()
+                square = c * (1 - 2 * m) * (1 - 2 * q) + m * (1 - 2 * m) * q**2 + q * (1 - 2 * q) * m**2 + (m * q) ** 2
+                apart = apart + sign * (c - m * q)
+                error = error + np.maximum(square - (c - m * q) ** 2, 1e-9) / of.sum()
+            found = (np.abs(apart) >= PAIR_Z * np.sqrt(error)) & (both >= PAIR_ROWS)
+            if i == j:
+                np.fill_diagonal(found, False)
+            hit[i : i + PAIR_BLOCK] |= found.any(axis=1)
+            hit[j : j + PAIR_BLOCK] |= found.any(axis=0)
+    return hit
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
@@ -138,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score) of every document whose score is ``threshold`` or more; all documents are scored, whole.
 
-    Features are the distinct words of the text, by hash, that occur in three training rows or more; the score adds
+    Features are distinct words of the text, by hash, that ``_features`` selects; the score adds
     their weights and, for every pair, the product of their factor vectors. A row with a null doc_id or text isn't
     scored; a text without a known term, such as an empty one, scores UNKNOWN, whatever the number of labels of
     either class. Repeated rows are scored each. Extra columns are never read. With empty ``labels`` nothing is toxic,
