@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wordmill.llm import components, minhash, substring, suffix, tokens
+from wordmill.llm import components, minhash, postings, substring, suffix, tokens
 from wordmill.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -160,26 +160,58 @@ def test_repeated_passages_against_all_windows(spark, operator, seed):
 
 
 def test_suffix_rounds_grow_to_the_threshold():
-    assert suffix.lengths(50, 13) == [(13, 13), (26, 24)]
-    assert suffix.lengths(50, 7) == [(7, 7), (14, 14), (28, 22)]
+    assert suffix.lengths(50, 8) == [(8, 8), (16, 16), (32, 18)]
+    assert suffix.lengths(50, 1) == [(1, 1), (2, 2), (4, 4), (8, 8), (16, 16), (32, 18)]
 
 
-def test_more_rounds_give_the_same_passages(spark):
+@pytest.mark.parametrize("base", [1, 8, 64])
+def test_any_first_length_gives_the_same_passages(spark, base):
     rows = passages(30, 9)
     df = spark.createDataFrame(rows, PASSAGES)
-    got = suffix.repeated_suffixes(df, threshold=30, base=8).select("doc_id", "start", "end", "words", "keep")
+    got = suffix.repeated_suffixes(df, threshold=30, base=base).select("doc_id", "start", "end", "words", "keep")
     assert {tuple(r) for r in got.collect()} == brute_passages(rows, 30)
 
 
-def test_equal_windows_have_equal_anchors():
-    rng = np.random.default_rng(2)
-    part = rng.integers(1, 1 << 62, 60, dtype=np.uint64)
-    a = np.concatenate([rng.integers(1, 1 << 62, 33, dtype=np.uint64), part])
-    b = np.concatenate([part, rng.integers(1, 1 << 62, 21, dtype=np.uint64)])
-    found = []
-    for h, shift in ((a, 33), (b, 0)):
-        at, g = substring.anchors(h, np.array([0, len(h)]))
-        found.append({(int(p) - shift, int(x)) for p, x in zip(at, g)})
-    shared = found[0] & found[1]
-    for s in range(len(part) - 49):
-        assert any(s <= p <= s + 42 for p, _ in shared)
+@pytest.mark.parametrize("operator", [substring.repeated_passages, suffix.repeated_suffixes])
+def test_many_texts_of_one_id_are_told_apart(spark, operator):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(1, text(60)) for _ in range(300)]
+    rows += [(2, rows[7][1]), (3, rows[200][1] + " end")]
+    got = {tuple(r) for r in operator(spark.createDataFrame(rows, PASSAGES)).collect()}
+    assert got == brute_passages(rows, 50) == {(1, 0, 60, 60, True), (2, 0, 60, 60, False), (3, 0, 60, 60, False)}
+
+
+@pytest.mark.parametrize("n", [1, 3, 100, 20_000])
+def test_packed_places_come_back(n):
+    rng = np.random.default_rng(n)
+    doc, text = np.repeat(rng.integers(-5, 1 << 60, 40), 500), np.repeat(rng.integers(0, 1 << 63, 40, dtype=np.uint64), 500)
+    pos = np.concatenate([np.sort(rng.choice(200_000, 500, replace=False)) for _ in range(40)])
+    key, small = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64), rng.integers(0, 99, 20_000).astype(np.uint16)
+    bucket = postings.buckets(tokens.mix(key), n)
+    b = postings.pack(bucket, n, doc, text, pos, [key, small], 4)
+    back = postings.unpack(postings.blobs([b])[4], ["<u8", "<u2"])
+    assert sorted(zip(*(x.tolist() for x in (doc, text, pos, key, small)))) == sorted(zip(*(x.tolist() for x in (*back[:3], *back[3]))))
+    assert b.column(0).to_pylist() == sorted(set(bucket.tolist()))
+
+
+
+@pytest.mark.parametrize("unit", [1, 300, 1 << 20])
+def test_windows_counted_within_and_across_units(monkeypatch, unit):
+    """The tasks by hand, with units of any size: some windows repeat within a unit, some across, some in both."""
+    monkeypatch.setattr(postings, "UNIT", unit)
+    rows = passages(40, 3) + [(5000 + k, "hot " * 3 + " ".join(f"h{i}" for i in range(30))) for k in range(60)]
+    rows = [r for r in rows if None not in r]
+    n = 3
+
+    def exchange(parts):
+        out = [[] for _ in range(n)]
+        for b in parts:
+            for k in range(n):
+                out[k].append(b.filter(pa.array([x == k for x in b.column(0).to_pylist()])))
+        return out
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part])], names=["doc_id", "text"]) for part in (rows[:30], rows[30:])]
+    counted = [b for part in exchange(substring._map(20, n)(batches)) for b in substring._count(n)(part)]
+    got = {tuple(r.values()) for part in exchange(counted) for b in postings.intervals(20)(part) for r in b.to_pylist()}
+    assert got == brute_passages(rows, 20)

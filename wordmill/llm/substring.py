@@ -3,132 +3,58 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from . import bloom
-from .common import drop, ids_and_text, stash
-from .tokens import mix, signed, spans, within, word_blocks
+from . import postings
+from .common import ids_and_text
+from .tokens import mix, spans, within
 
-#: Words of a window; words of the short spans among which each window has its anchors.
-WINDOW, GRAM = 50, 8
+#: Words of a window.
+WINDOW = 50
+#: Kinds of rows in the exchange: windows to be counted, places already known to be repeats.
+_COUNT, _GONE = 2, 0
 
 
-def _slide(x: np.ndarray, size: int, pick) -> np.ndarray:
-    """pick over x[i : i + size] for every i, by doubling."""
-    n, have, out = len(x) - size + 1, 1, x
-    while 2 * have <= size:
-        out = pick(out[:-have], out[have:])
-        have *= 2
-    rest = size - have
-    return pick(out[: len(out) - rest], out[rest:])[:n] if rest else out[:n]
+def _windows(batches, window: int):
+    for doc, _, h, off in postings.texts(batches, window):
+        one = spans(h, window)
+        at = np.flatnonzero(within(off, window)[: len(one)])
+        row = np.searchsorted(off, at, side="right") - 1
+        two = spans(mix(h), window)[at] >> np.uint64(48)
+        yield doc[row], (at - off[row]).astype(np.int32), one[at], two.astype(np.uint16) | np.uint16(1)
 
 
-def anchors(h: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the spans of ``gram`` words that are the least hash of a window of one row.
+def _map(window: int, n: int):
+    """Hash every window; of windows equal within a unit only the first goes on, marked, and the others are repeats."""
 
-    Every place that attains the least hash is an anchor, so which spans of a window are its anchors depends on the
-    window's words alone: equal windows have equal anchors (winnowing: Schleimer, Wilkerson and Aiken, 2003)."""
-    g, wide = spans(h, gram), window - gram + 1
-    if len(g) < wide:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = _slide(g, wide, np.minimum)
-    least = np.where(within(off, window)[: len(least)], least, np.uint64(0))
-    pad = np.zeros(wide - 1, np.uint64)
-    most = _slide(np.concatenate([pad, least, pad]), wide, np.maximum)
-    at = np.flatnonzero((most == g) & (most > 0))
-    return at, g[at]
-
-
-def _anchor_rows(window: int):
     def run(batches):
-        for b in batches:
-            for lo, _, h, off in word_blocks(b.column(1)):
-                at, g = anchors(h, off, window)
-                row = np.searchsorted(off, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(g)), b.column(0).take(pa.array(lo + row)), pa.array((at - off[row]).astype(np.int32))], names=["anchor", "doc_id", "pos"]
-                )
+        for k, (doc, pos, one, two) in enumerate(postings.units(_windows(batches, window))):
+            order, first, size, _ = postings.groups(doc, pos, [one, two])
+            two[order[first[size == 1]]] ^= np.uint16(1)  # the last bit says: found again within the unit
+            keep = np.zeros(len(doc), dtype=bool)
+            keep[order[first]] = True
+            rest = np.sort(postings.others(order, first))
+            rows = [
+                postings.pack(postings.buckets(one[keep], n), n, doc[keep], None, pos[keep], [one[keep], two[keep]], _COUNT),
+                postings.pack(np.full(len(rest), k % n), n, doc[rest], None, pos[rest], [], _GONE),
+            ]
+            yield from (r for r in rows if r is not None)
 
     return run
 
 
-def covered(anchor_at: np.ndarray, words: int, window: int, gram: int = GRAM) -> np.ndarray:
-    """Whether the window that starts at each of ``words`` words holds one of the anchors."""
-    anchor_at = anchor_at[anchor_at < words]  # a longer text may have the same doc_id
-    step = np.zeros(words + 1, dtype=np.int64)
-    np.add.at(step, np.maximum(anchor_at - (window - gram), 0), 1)
-    np.add.at(step, np.minimum(anchor_at + 1, words), -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def suspects(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, at): the texts that have an anchor in common with another place, and where these are. A window
-    without such an anchor occurs once, for an equal one would have the same anchors: leaving it out is exact."""
-    d = ids_and_text(docs)
-    found = stash(d.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, pos int"), "anchors")
-    place = F.struct("doc_id", "pos")
-    again = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("anchor")
-    at = stash(found.join(again, "anchor").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "suspects")
-    drop(found)
-    filled = bloom.fill(at, F.xxhash64("doc_id"))
+def _count(n: int):
+    """Windows found in two places or more: the first of them stays, the others go; each to the bucket of its doc_id."""
 
-    def pick(batches):
-        for b in batches:
-            k = b.column(2).to_numpy().view(np.uint64)
-            yield b.select(["doc_id", "text"]).take(pa.array(bloom.may_hold(filled, k, np.ones(len(k), dtype=bool))))
-
-    near = d.withColumn("k", F.xxhash64("doc_id")).mapInArrow(pick, "doc_id long, text string")
-    return near.join(at, "doc_id")
-
-
-def _window_rows(window: int):
     def run(batches):
-        for b in batches:
-            lists = b.column(2)
-            flat, o = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for lo, hi, h, off in word_blocks(b.column(1)):
-                one, two = spans(h, window), spans(mix(h), window)
-                ok = within(off, window)[: len(one)]
-                for k in range(hi - lo):
-                    n = int(off[k + 1] - off[k])
-                    ok[off[k] : off[k + 1]] &= covered(flat[o[lo + k] : o[lo + k + 1]], n, window)[: max(0, len(ok) - off[k])]
-                at = np.flatnonzero(ok)
-                row = np.searchsorted(off, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(one[at])),
-                        pa.array((two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        b.column(0).take(pa.array(lo + row)),
-                        pa.array((at - off[row]).astype(np.int32)),
-                    ],
-                    names=["h1", "h2", "doc_id", "pos"],
-                )
-
-    return run
-
-
-def _runs(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.unique(at)
-    new = np.flatnonzero(np.concatenate([[True], np.diff(at) > window]))
-    return at[new], at[np.append(new[1:], len(at)) - 1] + window
-
-
-def intervals(window: int):
-    def run(batches):
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            ids = b.column(0).to_numpy()
-            for column, keep in ((b.column(1), True), (b.column(2), False)):
-                flat, o = column.values.to_numpy(), column.offsets.to_numpy()
-                for k in np.flatnonzero(np.diff(o)):
-                    s, e = _runs(flat[o[k] : o[k + 1]], window)
-                    for part, x in zip(out, (np.full(len(s), ids[k]), s, e, np.full(len(s), keep)), strict=True):
-                        part.append(x)
-            if out[0]:
-                d, s, e, keep = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(keep)], names=["doc_id", "start", "end", "words", "keep"])
+        held = postings.blobs(batches)
+        doc, _, pos, (one, two) = postings.unpack(held.pop(_COUNT, []), ["<u8", "<u2"])
+        order, first, size, known = postings.groups(doc, pos, [one, two >> np.uint16(1)], (two & np.uint16(1)) > 0)
+        again = (size > 1) | known
+        stay, rest = order[first[again]], postings.others(order, first)
+        old, _, at, _ = postings.unpack(held.get(_GONE, []), [])
+        rows = [postings.places(doc[stay], pos[stay], n, 1), postings.places(np.concatenate([doc[rest], old]), np.concatenate([pos[rest], at]), n, 0)]
+        yield from (r for r in rows if r is not None)
 
     return run
 
@@ -139,12 +65,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     false the interval is to be removed: each of its windows has an earlier occurrence, by doc_id and then position.
     With ``keep`` true its windows are first occurrences, which stay.
 
-    Windows are compared by 96 bits of hash. Null doc_id or text and texts of under ``window`` words give no row.
-    Rows that repeat a doc_id are one document: a window at the same word of the same doc_id is no repeat of itself.
-    Extra columns are never read; an empty table gives an empty result."""
-    rows = suspects(docs, window).mapInArrow(_window_rows(window), "h1 long, h2 int, doc_id long, pos int")
-    same, place = Window.partitionBy("h1", "h2"), F.struct("doc_id", "pos")
-    seen = rows.withColumns({"a": F.min(place).over(same), "z": F.max(place).over(same)}).where("a != z")
-    first = F.col("a") == place
-    at = seen.groupBy("doc_id").agg(F.collect_list(F.when(first, F.col("pos"))).alias("kept"), F.collect_list(F.when(~first, F.col("pos"))).alias("gone"))
-    return at.mapInArrow(intervals(window), "doc_id long, start int, end int, words int, keep boolean")
+    Every window of every text is hashed and counted, by 79 bits of hash. A task sends one of the windows equal within
+    a million, so a passage in a great many texts doesn't burden the bucket it is counted in.
+
+    Null doc_id or text and texts of under ``window`` words give no row. Rows that repeat a doc_id are one document: a
+    window at the same word of the same doc_id is no repeat of itself. Ties don't arise: places differ. A text of any
+    length is taken whole. Extra columns are never read; an empty table gives an empty result."""
+    n = postings.partitions(docs)
+    counted = postings.exchange(ids_and_text(docs).mapInArrow(_map(window, n), postings.ROW), n).mapInArrow(_count(n), postings.ROW)
+    return postings.exchange(counted, n).mapInArrow(postings.intervals(window), postings.INTERVALS)

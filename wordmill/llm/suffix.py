@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import drop, stash
-from .substring import GRAM, covered, intervals, suspects
-from .tokens import mix, signed, spans, within, word_blocks
+from . import postings
+from .common import drop, ids_and_text, stash
+from .tokens import mix, spans
 
-#: Words from which a common prefix of two suffixes is a repeat; words of the alphabet that the first round ranks.
+#: Words from which a common prefix of two suffixes is a repeat; words that the first ranks look at.
 THRESHOLD = 50
-BASE = 13
+BASE = 8
 
 
 def lengths(threshold: int, base: int) -> list[tuple[int, int]]:
-    """(length ranked before, offset) of each round; the last reaches the threshold exactly."""
+    """(length ranked before, offset) of each doubling; the last reaches the threshold exactly."""
     out, have = [], base
     while have < threshold:
         out.append((have, min(have, threshold - have)))
@@ -26,108 +24,91 @@ def lengths(threshold: int, base: int) -> list[tuple[int, int]]:
     return out
 
 
-def _first_pairs(threshold: int, base: int, offset: int):
-    size = base + offset
+def _first_keys(threshold: int, base: int, n: int):
+    """Every suffix of every text that can hold a repeat, with its first ``base`` words."""
 
     def run(batches):
-        for b in batches:
-            lists = b.column(2)
-            flat, o = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for lo, hi, h, off in word_blocks(b.column(1)):
-                name = spans(h, base)
-                n = len(h) - size + 1
-                if n <= 0:
-                    continue
-                live = np.zeros(len(h) + 1, dtype=np.int64)
-                salt = np.zeros(hi - lo, dtype=np.int16)
-                for k in range(hi - lo):
-                    a, z = int(off[k]), int(off[k + 1])
-                    starts = np.flatnonzero(covered(flat[o[lo + k] : o[lo + k + 1]], z - a, threshold, GRAM)[: max(0, z - a - threshold + 1)])
-                    np.add.at(live, a + starts, 1)  # every suffix that a suspect window reads
-                    np.add.at(live, a + starts + threshold - size + 1, -1)
-                    salt[k] = mix((h[a:z] * mix(np.arange(z - a, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True)).view(np.int16)[0]
-                at = np.flatnonzero((np.cumsum(live)[:n] > 0) & within(off, size)[:n])
-                row = np.searchsorted(off, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(name[at])),
-                        pa.array(signed(name[at + offset])),
-                        b.column(0).take(pa.array(lo + row)),
-                        pa.array(salt[row]),
-                        pa.array((at - off[row]).astype(np.int32)),
-                    ],
-                    names=["r1", "r2", "doc_id", "salt", "pos"],
-                )
+        def suffixes():
+            for doc, text, h, off in postings.texts(batches, threshold):
+                long = np.flatnonzero(np.diff(off) >= threshold)
+                count = np.diff(off)[long] - base + 1
+                at = np.arange(count.sum()) + np.repeat(off[long] - (np.cumsum(count) - count), count)
+                row = np.repeat(long, count)
+                yield doc[row], text[row], (at - off[row]).astype(np.int32), spans(h, base)[at]
+
+        for doc, text, pos, key in postings.units(suffixes()):
+            yield postings.pack(postings.buckets(key, n), n, doc, text, pos, [key])
+
+    return run
+
+
+def _by_text(doc: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    return postings.buckets(mix(text ^ mix(doc.view(np.uint64))), n)
+
+
+def _rank(dtypes: list[str], n: int):
+    """New ranks of the sorted keys of a bucket: the number of the bucket and the place of the first equal key there.
+    A key that occurs once has no equal at any greater length, and is dropped. Ranks go to the bucket of their text."""
+
+    def run(batches):
+        doc, text, pos, keys = postings.unpack(postings.blobs(batches).get(0, []), dtypes)
+        if not len(doc):
+            return
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.logical_or.reduce([(k := x[order])[1:] != k[:-1] for x in keys])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(new)))
+        again = np.repeat(size > 1, size)
+        rank, order = np.repeat(first, size)[again].astype(np.uint32), order[again]
+        back = np.lexsort((pos[order], doc[order], text[order]))
+        order, rank = order[back], rank[back]
+        doc, text, pos = doc[order], text[order], pos[order]
+        yield from _non_empty(postings.pack(_by_text(doc, text, n), n, doc, text, pos, [rank], TaskContext.get().partitionId()))
 
     return run
 
 
-def _rank(batches):
-    """New ranks of sorted pairs: the place of the first equal pair, under the number of the range. A pair that occurs
-    once has no equal at any greater length, and is dropped."""
-    t = pa.Table.from_batches(list(batches), schema=_PAIR_SCHEMA)
-    if not t.num_rows:
-        return
-    r1, r2 = t.column("r1").to_numpy(), t.column("r2").to_numpy()
-    new = np.concatenate([[True], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(new)))
-    keep = np.repeat(size > 1, size)
-    rank = (np.repeat(first, size) + (np.int64(TaskContext.get().partitionId()) << 40))[keep]
-    t = t.select(["doc_id", "salt", "pos"]).filter(pa.array(keep)).append_column("rank", pa.array(rank))
-    yield from t.to_batches(max_chunksize=50_000)
-
-
-def _repeats(batches):
-    """The suffixes of sorted pairs that occur again, and whether they are the first of theirs."""
-    t = pa.Table.from_batches(list(batches), schema=_PAIR_SCHEMA)
-    if not t.num_rows:
-        return
-    r1, r2, doc, pos = (t.column(k).to_numpy() for k in ("r1", "r2", "doc_id", "pos"))
-    group = np.cumsum(np.concatenate([[False], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])]))
-    order = np.lexsort((pos, doc, group))
-    group, doc, pos = group[order], doc[order], pos[order]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
-    size = np.diff(np.append(first, len(group)))
-    head, last = np.repeat(first, size), np.repeat(first + size - 1, size)
-    again = (doc[head] != doc[last]) | (pos[head] != pos[last])
-    keep = (doc == doc[head]) & (pos == pos[head])
-    cols = [pa.array(c[again]) for c in (doc, pos, keep)]
-    yield from pa.Table.from_arrays(cols, names=["doc_id", "pos", "keep"]).to_batches(max_chunksize=50_000)
-
-
-_PAIRS = "r1 long, r2 long, doc_id long, salt short, pos int"
-_PAIR_SCHEMA = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("doc_id", pa.int64()), ("salt", pa.int16()), ("pos", pa.int32())])
-_RANKS = "doc_id long, salt short, pos int, rank long"
-
-
-def _pairs(offset: int):
-    """Rank of each suffix with that of the suffix ``offset`` words on; suffixes whose partner was unique end here."""
+def _non_empty(*rows):
+    return (r for r in rows if r is not None)
+
+
+def _pairs(offset: int, n: int):
+    """Rank of each suffix with that of the suffix ``offset`` words on, sent to the bucket of the first rank; suffixes
+    whose partner was unique end here."""
 
     def run(batches):
-        t = pa.Table.from_batches(list(batches), schema=pa.schema([("doc_id", pa.int64()), ("salt", pa.int16()), ("pos", pa.int32()), ("rank", pa.int64())]))
-        if not t.num_rows:
+        parts = [(k, postings.unpack(data, ["<u4"])) for k, data in sorted(postings.blobs(batches).items())]
+        if not parts:
             return
-        doc, salt, pos, rank = (t.column(k).to_numpy() for k in range(4))
-        order = np.lexsort((pos, salt, doc))
-        doc, salt, pos, rank = doc[order], salt[order], pos[order], rank[order]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1])])
+        doc, text, pos = (np.concatenate([x[k] for _, x in parts]) for k in range(3))
+        bucket = np.repeat([k for k, _ in parts], [len(x[0]) for _, x in parts])
+        rank = np.concatenate([x[3][0] for _, x in parts])
+        order = np.lexsort((pos, doc, text))
+        doc, text, pos, bucket, rank = (x[order] for x in (doc, text, pos, bucket, rank))
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
         place = (np.cumsum(new) << 32) + pos
         once = np.concatenate([[True], np.diff(place) != 0])  # repeated rows are one
-        doc, salt, pos, rank, place = doc[once], salt[once], pos[once], rank[once], place[once]
+        doc, text, pos, bucket, rank, place = (x[once] for x in (doc, text, pos, bucket, rank, place))
         to = np.searchsorted(place, place + offset)
         to[to == len(place)] = 0
         at = np.flatnonzero(place[to] == place + offset)
-        cols = [rank[at], rank[to[at]], doc[at], salt[at], pos[at]]
-        yield from pa.Table.from_arrays([pa.array(c) for c in cols], schema=_PAIR_SCHEMA).to_batches(max_chunksize=50_000)
+        two = (bucket[to[at]].astype(np.uint64) << np.uint64(32)) | rank[to[at]]
+        yield from _non_empty(postings.pack(bucket[at], n, doc[at], text[at], pos[at], [rank[at], two]))
 
     return run
 
 
-def _sorted(pairs: DataFrame, part) -> DataFrame:
-    """All pairs in order: range-partitioned by r1 through its range number, sorted within."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartitionById(n, part(n)).sortWithinPartitions("r1", "r2")
+def _repeats(dtypes: list[str], n: int):
+    """The suffixes whose keys occur in two places or more, and whether they are the first of theirs."""
+
+    def run(batches):
+        doc, _, pos, keys = postings.unpack(postings.blobs(batches).get(0, []), dtypes)
+        order, first, size, _ = postings.groups(doc, pos, keys)
+        stay, rest = order[first[size > 1]], postings.others(order, first)
+        yield from _non_empty(postings.places(doc[stay], pos[stay], n, 1), postings.places(doc[rest], pos[rest], n, 0))
+
+    return run
 
 
 def repeated_suffixes(docs: DataFrame, threshold: int = THRESHOLD, base: int = BASE) -> DataFrame:
@@ -135,28 +116,22 @@ def repeated_suffixes(docs: DataFrame, threshold: int = THRESHOLD, base: int = B
     ``threshold`` words make up. With ``keep`` false each of these suffixes has an equal one before it, by doc_id and
     position, and the interval is to be removed; with ``keep`` true they are the first ones.
 
-    The alphabet is that of spans of ``base`` words, ordered by hash. In each round Spark sorts the pairs (rank of
-    a suffix, rank of the suffix an offset further) of all suffixes left and ranks them anew, by 13, 26 and then
-    50 words; a suffix that is unique drops out, and at the threshold what is left is repeated. Suffixes without an
-    anchor in common with another place are unique and left out from the start (see ``substring.suspects``).
+    All suffixes of all texts are sorted by their first ``base`` words (as 64-bit hashes, whose order is as good as any)
+    and ranked. Then, in rounds, the pairs (rank of a suffix, rank of the suffix an offset further) are sorted and ranked
+    anew, by 16, 32 and 50 words; a suffix that is unique drops out, and at the threshold what is left is repeated.
+    Ranks between rounds are tables in the shared folder.
 
     Null doc_id or text and texts of under ``threshold`` words give no row. Rows that repeat a doc_id are one document:
-    a suffix is no repeat of one at the same word of the same doc_id. Extra columns are never read; an empty table
+    a suffix is no repeat of one at the same word of the same doc_id; their texts, where they differ, are ranked each.
+    Ties don't arise: places differ. A text of any length is taken whole. Extra columns are never read; an empty table
     gives an empty result."""
-    rounds = lengths(threshold, base)
-    pairs = suspects(docs, threshold).mapInArrow(_first_pairs(threshold, *rounds[0]), _PAIRS)
-    ranked = None
-    by_hash = lambda n: F.shiftright((F.shiftright("r1", 32) + F.lit(1 << 31)) * n, 32).cast("int")
-    by_rank = lambda n: F.pmod(F.shiftright("r1", 40), F.lit(n)).cast("int")
-    for k, (_, offset) in enumerate(rounds):
-        if k:
-            last = ranked
-            pairs = last.repartition("doc_id", "salt").mapInArrow(_pairs(offset), _PAIRS)
-        in_order = _sorted(pairs, by_rank if k else by_hash)
-        if k < len(rounds) - 1:
-            ranked = stash(in_order.mapInArrow(_rank, _RANKS), "ranks")
-            if k:
-                drop(last)
-    seen = in_order.mapInArrow(_repeats, "doc_id long, pos int, keep boolean")
-    at = seen.groupBy("doc_id").agg(F.collect_list(F.when(F.col("keep"), F.col("pos"))).alias("kept"), F.collect_list(F.when(~F.col("keep"), F.col("pos"))).alias("gone"))
-    return at.mapInArrow(intervals(threshold), "doc_id long, start int, end int, words int, keep boolean")
+    n, base = postings.partitions(docs), min(base, threshold)
+    sent = ids_and_text(docs).mapInArrow(_first_keys(threshold, base, n), postings.ROW)
+    kinds, last = ["<u8"], None
+    for _, offset in lengths(threshold, base):
+        ranked = stash(postings.exchange(sent, n).mapInArrow(_rank(kinds, n), postings.ROW), "ranks")
+        if last is not None:
+            drop(last)
+        sent, kinds, last = postings.exchange(ranked, n).mapInArrow(_pairs(offset, n), postings.ROW), ["<u4", "<u8"], ranked
+    found = postings.exchange(sent, n).mapInArrow(_repeats(kinds, n), postings.ROW)
+    return postings.exchange(found, n).mapInArrow(postings.intervals(threshold), postings.INTERVALS)
