@@ -14,35 +14,80 @@ from .tokens import mix, signed, word_blocks
 #: Word positions that each seed reads; it ignores those between.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 8), (0, 2, 4, 5, 8, 9), (0, 1, 4, 6, 7, 9), (0, 2, 3, 6, 7, 8))
 #: An overlap is the stretch of largest sum of 1 a matching word and -PENALTY a substituted one; it counts from
-#: MATCHED matching words on, or all words of a shorter item. Items under SHORTEST words are no evidence.
-MATCHED, PENALTY, SHORTEST = 13, 3, 6
+#: MATCHED matching words on. Items of up to MATCHED words must be there as a whole, from TOLERANT words on with one
+#: substitution at most. An item of under SHORTEST words is found in texts that hold nothing else.
+MATCHED, PENALTY, TOLERANT, SHORTEST = 13, 3, 8, 6
 
-_W = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
+_W = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
 
 
-def seed_hashes(h: np.ndarray, off: np.ndarray):
-    """For each mask, the hash at every position and whether the mask lies within the row there."""
+def least_matches(words: int) -> int:
+    """Matching words that an overlap with an item of so many words needs."""
+    return words if words < TOLERANT else min(words - 1, MATCHED)
+
+
+def masks_for(sizes: set[int]) -> tuple[tuple[int, ...], ...]:
+    """MASKS, and for items of TOLERANT to MATCHED words the masks that ignore just one of their words, where no seed
+    of MASKS fits beside it."""
+    more = []
+    for n in sorted(s for s in sizes if TOLERANT <= s <= MATCHED):
+        for gap in range(n):
+            if not any(gap - at not in mask for mask in MASKS for at in range(n - mask[-1])):
+                more.append(tuple(k for k in range(n) if k != gap))
+    return MASKS + tuple(more)
+
+
+def seed_hashes(h: np.ndarray, off: np.ndarray, masks=MASKS):
+    """For each mask, the hash at every position and whether the mask lies within the row there; at last, for rows of
+    under SHORTEST words, the hash of the whole row at its first word."""
     ends = np.repeat(off[1:], np.diff(off))
-    for m, mask in enumerate(MASKS):
+    for mask in masks:
         n = len(h) - mask[-1]
         if n <= 0:
             continue
-        s = np.full(n, m + 1, dtype=np.uint64)
+        s = np.full(n, _NAMES[mask], dtype=np.uint64)
         for k in mask:
             s += h[k : k + n] * _W[k]
-        yield m, mix(s), np.arange(n) + mask[-1] < ends[:n]
+        yield mix(s), np.arange(n) + mask[-1] < ends[:n]
+    size = np.diff(off)
+    short = np.flatnonzero((size > 0) & (size < SHORTEST))
+    if len(short):
+        s, ok = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=bool)
+        at = off[short]
+        s[at], ok[at] = size[short].astype(np.uint64) << np.uint64(32), True
+        for k in range(SHORTEST - 1):
+            there = size[short] > k
+            s[at[there]] += h[at[there] + k] * _W[k]
+        yield mix(s), ok
 
 
-def _seeds(batches):
-    for b in batches:
-        for lo, hi, h, off in word_blocks(b.column(1)):
-            row = np.repeat(np.arange(lo, hi), np.diff(off))
-            for _, s, ok in seed_hashes(h, off):
-                at = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(s[at])), b.column(0).take(pa.array(row[at])), pa.array((at - off[row[at] - lo]).astype(np.int32))],
-                    names=["seed", "item_id", "item_pos"],
-                )
+class _Names(dict):
+    """A number for each mask, the same in every process."""
+
+    def __missing__(self, mask):
+        out = np.uint64(len(mask) << 40) + sum((np.uint64(1) << np.uint64(k) for k in mask), np.uint64(0))
+        self[mask] = out
+        return out
+
+
+_NAMES = _Names()
+
+
+def _seeds(masks):
+    """Seeds of items; one of under SHORTEST words has the seed of the whole alone, and the others don't."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, h, off in word_blocks(b.column(1)):
+                row = np.repeat(np.arange(lo, hi), np.diff(off))
+                for s, ok in seed_hashes(h, off, masks):
+                    at = np.flatnonzero(ok)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(s[at])), b.column(0).take(pa.array(row[at])), pa.array((at - off[row[at] - lo]).astype(np.int32))],
+                        names=["seed", "item_id", "item_pos"],
+                    )
+
+    return run
 
 
 def _words(batches):
@@ -64,6 +109,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def verify(words: np.ndarray, ref: np.ndarray, d: int) -> tuple[int, int, int] | None:
+    """(first word, words, matches) of the overlap of a text with an item that begins at its word ``d``, if it counts."""
+    if len(ref) <= MATCHED:
+        whole = 0 <= d <= len(words) - len(ref) and (len(ref) >= SHORTEST or len(words) == len(ref))
+        n = int((words[d : d + len(ref)] == ref).sum()) if whole else 0
+        return (d, len(ref), n) if n and n >= least_matches(len(ref)) else None
+    lo, hi = max(0, d), min(len(words), d + len(ref))
+    s, e, n = overlap(words[lo:hi], ref[lo - d : hi - d]) if lo < hi else (0, 0, 0)
+    return (lo + s, e - s, n) if n >= MATCHED else None
+
+
 def _verify(batches):
     for b in batches:
         doc, first, item, diag = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -71,12 +127,10 @@ def _verify(batches):
         out = []
         for k in range(b.num_rows):
             (w, o), (x, q) = lists
-            words, ref = w[o[k] : o[k + 1]], x[q[k] : q[k + 1]]
             d = int(diag[k] - first[k])  # where the item begins in the region
-            lo, hi = max(0, d), min(len(words), d + len(ref))
-            s, e, n = overlap(words[lo:hi], ref[lo - d : hi - d]) if lo < hi else (0, 0, 0)
-            if n >= min(MATCHED, len(ref)):
-                out.append((doc[k], item[k], first[k] + lo + s, lo - d + s, e - s, n))
+            if found := verify(w[o[k] : o[k + 1]], x[q[k] : q[k + 1]], d):
+                s, size, n = found
+                out.append((doc[k], item[k], first[k] + s, s - d, size, n))
         cols = [np.array(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if i < 2 else np.int32)) for i, c in enumerate(cols)], names=_FOUND_NAMES)
 
@@ -91,13 +145,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Hashes of five spaced seeds of six words, at every position of every document, are joined to those of the items;
     around each hit the two texts are aligned without gaps and the best stretch is kept (see ``overlap``). An item
-    is found at any of its places, in part or with substitutions; of equal stretches the first counts.
+    is found at any of its places, in part or with substitutions; of equal stretches the first counts. Items of 8 to 13
+    words are found as a whole with one substitution at most, those of 6 and 7 words with none, and shorter ones, which
+    any text may hold by chance, as texts that consist of nothing else.
 
-    Null ids or texts and texts of under six words take no part. Repeated rows give one row. Items with one text are
-    each reported. Extra columns are never read; an empty table on either side gives an empty result."""
+    Null ids or texts and texts without a word take no part. Repeated rows give one row. Items with one text are each
+    reported. Texts of any length are searched whole. Extra columns are never read; an empty table on either side gives
+    an empty result."""
     bench = ids_and_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").distinct()
-    items = stash(bench.mapInArrow(_words, "item_id long, item_words array<long>").where(F.size("item_words") >= SHORTEST), "items")
-    seeds = stash(bench.mapInArrow(_seeds, "seed long, item_id long, item_pos int").distinct(), "seeds")
+    items = stash(bench.mapInArrow(_words, "item_id long, item_words array<long>").where(F.size("item_words") > 0), "items")
+    sizes = {r.n for r in items.select(F.least(F.size("item_words"), F.lit(MATCHED + 1)).alias("n")).distinct().collect()}  # MATCHED + 1 rows at most
+    masks = masks_for(sizes)
+    seeds = stash(bench.mapInArrow(_seeds(masks), "seed long, item_id long, item_pos int").distinct(), "seeds")
     reach = items.agg(F.max(F.size("item_words"))).first()[0] or 0
     filled = bloom.fill(seeds, F.col("seed"))
 
@@ -105,7 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for b in batches:
             for lo, hi, h, off in word_blocks(b.column(1)):
                 at, key = [], []
-                for _, s, ok in seed_hashes(h, off):
+                for s, ok in seed_hashes(h, off, masks):
                     near = bloom.may_hold(filled, s, ok)
                     at.append(near)
                     key.append(s[near])
@@ -146,5 +205,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that overlap a benchmark item; all other rows and all columns stay as they are."""
+    """``docs`` without those that overlap a benchmark item; all other rows and all columns stay as they are. Rows that
+    repeat a doc_id go together; null ids and texts stay; an empty table gives an empty result."""
     return bloom.without(docs, leaks(docs, benchmark).select("doc_id"))

@@ -60,8 +60,25 @@ def encode(pixels: np.ndarray, kinds: np.ndarray | None = None) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 1)) + _chunk(b"IEND", b"")
 
 
-def inflate(data: bytes) -> tuple[tuple[int, int, int, int], bytes, bytes]:
-    """((width, height, depth, colour), palette, filtered rows) of a PNG, after every check a reader must make."""
+#: First row, step of rows, first column and step of columns of the seven passes of an interlaced picture.
+PASSES = ((0, 8, 0, 8), (0, 8, 4, 8), (4, 8, 0, 4), (0, 4, 2, 4), (2, 4, 0, 2), (0, 2, 1, 2), (1, 2, 0, 1))
+
+
+def parts_of(w: int, h: int, interlaced: int) -> list[tuple[int, int, tuple[int, int, int, int]]]:
+    """(width, height, place) of each part of a picture that is filtered by itself and isn't empty."""
+    if not interlaced:
+        return [(w, h, (0, 1, 0, 1))]
+    every = [(-(-(w - x) // dx), -(-(h - y) // dy), (y, dy, x, dx)) for y, dy, x, dx in PASSES]
+    return [p for p in every if p[0] > 0 and p[1] > 0]
+
+
+def row_bytes(w: int, depth: int, colour: int) -> int:
+    return -(-w * depth * CHANNELS[colour] // 8)
+
+
+def inflate(data: bytes) -> tuple[tuple[int, int, int, int, int], bytes, bytes]:
+    """((width, height, depth, colour, interlaced), palette, filtered rows) of a PNG, after every check a reader must
+    make."""
     if data[:8] != SIGNATURE:
         raise BadImage("signature")
     at, head, body, palette, ended = 8, None, [], b"", False
@@ -84,8 +101,8 @@ def inflate(data: bytes) -> tuple[tuple[int, int, int, int], bytes, bytes]:
             w, h, depth, colour, packed, filters, interlaced = head
             if not w or not h or colour not in DEPTHS or depth not in DEPTHS[colour] or packed or filters:
                 raise BadImage("header")
-            if interlaced:
-                raise BadImage("interlaced")
+            if interlaced > 1:
+                raise BadImage("header")
         elif kind == b"IDAT":
             body.append(part)
         elif kind == b"PLTE":
@@ -98,17 +115,20 @@ def inflate(data: bytes) -> tuple[tuple[int, int, int, int], bytes, bytes]:
     if head is None or not ended:
         raise BadImage("cut short")
     w, h, depth, colour = head[:4]
+    interlaced = head[6]
     if colour == 3 and (not palette or len(palette) % 3):
         raise BadImage("palette")
-    want = h * (1 + -(-w * depth * CHANNELS[colour] // 8))
+    want = sum(y * (1 + row_bytes(x, depth, colour)) for x, y, _ in parts_of(w, h, interlaced))
     try:
         out = zlib.decompressobj()
         raw = out.decompress(b"".join(body), want + 1)  # never more than the header promises
     except zlib.error as e:
         raise BadImage("zlib") from e
-    if len(raw) != want or not (out.eof or out.decompress(out.unconsumed_tail, 1) == b""):
+    if len(raw) != want:
         raise BadImage("size")
-    return (w, h, depth, colour), palette, raw
+    if not out.eof:  # the checksum of the stream is missing
+        raise BadImage("zlib")
+    return (w, h, depth, colour, interlaced), palette, raw
 
 
 def unfilter(raws: list[np.ndarray], bpp: int) -> list[np.ndarray]:
@@ -182,12 +202,15 @@ def decode_all(images: list[bytes | None]) -> list[np.ndarray | str | None]:
         except BadImage as e:
             out[k] = str(e)
             continue
-        rows = np.frombuffer(raw, dtype=np.uint8).reshape(head[1], -1)
-        if rows[:, 0].max() > 4:
-            out[k] = "filter"
-            continue
-        bpp = max(1, head[2] * CHANNELS[head[3]] // 8)
-        groups.setdefault((rows.shape[1], bpp), []).append((k, head, palette, rows))
+        w, h, depth, colour, interlaced = head
+        at = 0
+        for x, y, place in parts_of(w, h, interlaced):
+            wide = 1 + row_bytes(x, depth, colour)
+            rows = np.frombuffer(raw, np.uint8, y * wide, at).reshape(y, wide)
+            at += rows.size
+            if rows[:, 0].max() > 4:
+                out[k] = "filter"
+            groups.setdefault((wide, max(1, depth * CHANNELS[colour] // 8)), []).append((k, (x, y, depth, colour), palette, rows, place, (h, w)))
     for (_, bpp), group in groups.items():
         group.sort(key=lambda g: len(g[3]))  # images unfiltered together are of like height
         lo = 0
@@ -195,10 +218,17 @@ def decode_all(images: list[bytes | None]) -> list[np.ndarray | str | None]:
             hi = lo + 1
             while hi < len(group) and hi - lo < TOGETHER and (hi - lo + 1) * group[hi][3].size <= 64 << 20:
                 hi += 1
-            part = group[lo:hi]
-            for (k, head, palette, _), rows in zip(part, unfilter([g[3] for g in part], bpp), strict=True):
+            part = [g for g in group[lo:hi] if not isinstance(out[g[0]], str)]
+            for (k, head, palette, _, (y, dy, x, dx), size), rows in zip(part, unfilter([g[3] for g in part], bpp) if part else [], strict=True):
+                if isinstance(out[k], str):
+                    continue
                 try:
-                    out[k] = to_pixels(rows, head, palette)
+                    px = to_pixels(rows, head, palette)
+                    if dy == dx == 1:
+                        out[k] = px
+                    else:
+                        out[k] = np.zeros((*size, px.shape[2]), np.uint8) if out[k] is None else out[k]
+                        out[k][y::dy, x::dx] = px
                 except BadImage as e:
                     out[k] = str(e)
             lo = hi
@@ -240,7 +270,9 @@ def picture(text: str) -> np.ndarray:
 
 
 def with_pictures(pages: DataFrame, key: str = "page_id", text: str = "html") -> DataFrame:
-    """(page_id, image): a PNG of the whole page in a binary column; a null page has a null image."""
+    """(page_id, image): a PNG of the whole page in a binary column, one row for each that comes in, null keys and
+    repeated rows too. A null page has a null image, an empty one a row of zeros; a page of any length is drawn whole.
+    Extra columns are never read."""
     ship(pages.sparkSession)
 
     def draw(batches):
@@ -257,9 +289,9 @@ _READ = "page_id long, status string, width int, height int, channels int, brigh
 def read_images(media: DataFrame, key: str = "page_id", image: str = "image") -> DataFrame:
     """(page_id, status, width, height, channels, brightness, hash) of every row of a binary column of PNG images.
 
-    status is ``ok``, ``null`` for a null image, or what is wrong: the signature, a chunk's checksum, a stream that is
-    cut short, the zlib stream, a row's filter, the palette, or interlacing, which isn't supported; then the other
-    columns are null. brightness is the mean of all samples, hash the 64 bits of ``cosine_hash``. One row comes out for
+    status is ``ok``, ``null`` for a null image, or what is wrong: the signature, the header, a chunk's checksum, a file
+    that is cut short, the zlib stream or its checksum, a row's filter, or the palette; then the other columns are null.
+    Interlaced pictures are put together from their passes; pictures of any size are read whole. brightness is the mean of all samples, hash the 64 bits of ``cosine_hash``. One row comes out for
     each that goes in, null keys and repeated rows too; extra columns are never read; an empty table gives an empty
     result."""
     ship(media.sparkSession)

@@ -11,17 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from .tokens import BLOCK, ROWS, text_bytes
+from .tokens import ROWS, text_bytes
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
 TAGS = ["O"] + [p + k for k in KINDS for p in ("B-", "I-")]
 K, D, H = len(TAGS), 16, 24
-#: Characters of a window and its stride; characters that a CRF chunk decodes, and those it shares with each neighbour.
-WINDOW, STRIDE, CHUNK, OVERLAP = 96, 48, 1024, 128
+#: Characters of a training text. Those of a window and its stride: a window shares 48 with each neighbour, half of a
+#: training text; characters that a CRF chunk decodes, and those it shares with each neighbour.
+LENGTH, WINDOW, STRIDE, CHUNK, OVERLAP = 96, 720, 672, 1024, 128
+#: Windows, or chunks, that go through numpy together: at most, and at least where their lengths differ much.
+AT_ONCE, LEAST = 512, 48
 #: Characters of a long text that are decoded at once, beside a MARGIN of context on either side. Both are multiples of
 #: STRIDE and of CHUNK - OVERLAP, so windows and chunks lie as if the text were decoded in one go.
 MARGIN = 2688
 PIECE = 64 * MARGIN
+#: Bytes of texts that are decoded together.
+BLOCK = 1 << 20
 STEPS, BATCH, RATE, SEED = 700, 48, 0.012, 11
 N_CHARS = 100
 _NEVER = -30.0
@@ -36,6 +41,11 @@ def char_ids(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 256, _CLASS[np.minimum(codes, 255)], 98).astype(np.uint8)
 
 
+def text_ids(text: str) -> np.ndarray:
+    """``char_ids`` of a text between two line breaks: its ends are no places where a span may be cut off."""
+    return np.pad(char_ids(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)), 1, constant_values=96)
+
+
 # Labelled spans --------------------------------------------------------------------------------------------------
 
 _SYLLABLES = "an er th in on re ed ti es or st en at nd ea ou ha is it to ing ly ble tion ment qui aux eau ción osa lich keit sch ung für ñó ça über ent da mo ra el".split()
@@ -51,8 +61,16 @@ def _draw(rng, letters, n):
     return "".join(letters[k] for k in rng.integers(0, len(letters), n))
 
 
+_ONSETS = "b c d f g h j k l m n p q r s t v w x y z ch sh th pf sp st tz zu br cr dr fr gr pr tr bl cl fl gl pl sl qu".split() + [""] * 6
+_VOWELS = "a e i o u a e i o u y ä ö ü é è ê á í ó ú à ei ie au eu ou ai ea oo io".split()
+_CODAS = "n r s t l d m k z x p b g f tz pf ck ch ng st nt rs ll ss ß".split() + [""] * 12
+
+
 def _word(rng):
-    return "".join(_SYLLABLES[k] for k in rng.integers(0, len(_SYLLABLES), rng.integers(1, 4)))
+    """A word of known syllables, or of any that onsets, vowels and codas make."""
+    if rng.random() < 0.55:
+        return "".join(_SYLLABLES[k] for k in rng.integers(0, len(_SYLLABLES), rng.integers(1, 4)))
+    return "".join(x[rng.integers(0, len(x))] for _ in range(rng.integers(1, 5)) for x in (_ONSETS, _VOWELS, _CODAS))
 
 
 def _plain(rng):
@@ -78,7 +96,7 @@ def _private(rng, kind):
         return "", f"{_digits(rng, 3)}-{_digits(rng, 2)}-{_digits(rng, 4)}", ""
     name = ["token", "password", "secret", "api_key"][rng.integers(0, 4)]
     if r == 0:
-        return "", "AKIA" + _draw(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), ""
+        return "", "AKIA" + _draw(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[: 32 if rng.random() < 0.7 else 26], 16), ""
     value = _draw(rng, _HEX, 40 if r == 1 else int(rng.integers(16, 41)))
     if rng.random() < 0.4:  # letters only
         n = int(rng.integers(8, 33))
@@ -90,6 +108,7 @@ def _harmless(rng):
     """Digits, and values of attributes, that are no private data."""
     return [
         lambda: _digits(rng, int(rng.integers(1, 6))),
+        lambda: f"{rng.integers(1000, 2100)}" + ".,;\n "[rng.integers(0, 5)],
         lambda: f"{_digits(rng, 1)}.{_digits(rng, 1)}",
         lambda: f"version {_digits(rng, 1)}.",
         lambda: f"Version {_digits(rng, 1)}.{_digits(rng, 1)}.",
@@ -104,10 +123,10 @@ def _harmless(rng):
         lambda: f"http://{_plain(rng)}.com/{_digits(rng, 3)}?p={_digits(rng, 1)}",
         lambda: f'{_plain(rng)}="{_word(rng)} {_word(rng)}"',
         lambda: f"{_plain(rng)} = {_word(rng)}",
-    ][rng.integers(0, 15)]()
+    ][rng.integers(0, 16)]()
 
 
-def labelled_text(rng: np.random.Generator, length: int = WINDOW) -> tuple[str, list[tuple[int, int, str]]]:
+def labelled_text(rng: np.random.Generator, length: int = LENGTH) -> tuple[str, list[tuple[int, int, str]]]:
     """An invented text of at least ``length`` characters and its spans (start, end, kind)."""
     text, spans = "", []
     junk, shout = rng.random() < 0.2, rng.random() < 0.12
@@ -199,39 +218,62 @@ def emissions(p: dict, x: np.ndarray, keep: bool = False):
     return h @ p["Wo"] + p["bo"], (h, sf, sb, xt)
 
 
-def _states(table: np.ndarray, u: np.ndarray, xt: np.ndarray) -> np.ndarray:
-    """What ``_lstm`` puts out, without what training needs: states (time, H, row). ``table`` holds the input's part of
-    the gates by character. A sigmoid is half a hyperbolic tangent of half its argument, plus a half."""
-    half = np.concatenate([np.full(3 * H, 0.5), np.ones(H)]).astype(np.float32)
-    table, u = table * half, np.ascontiguousarray((u * half).T)
-    n = xt.shape[1]
-    a, z, out = np.empty((4 * H, n), np.float32), np.empty((n, 4 * H), np.float32), np.empty((len(xt), H, n), np.float32)
-    h, c, s, g = np.zeros((H, n), np.float32), np.zeros((H, n), np.float32), a[: 3 * H], a[3 * H :]
-    for t in range(len(xt)):
-        np.take(table, xt[t], axis=0, out=z, mode="clip")
-        np.matmul(u, h, out=a)
-        a += z.T
+def _fused(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of both directions for ``tag_scores``: of the gates, from states, characters' vectors and a one; of the
+    tags from states. A sigmoid is (1 + tanh(x / 2)) / 2; its halves are taken into the weights, so states are doubled."""
+    half = np.concatenate([np.full(3 * H, 0.5), np.ones(H)])
+    gates = np.stack([np.concatenate([p[f"U{d}"] * half / 2, p[f"W{d}"] * half, (p[f"b{d}"] * half)[None]]).T for d in "fb"])
+    return gates.astype(np.float32), (p["Wo"] / 2).reshape(2, H, K).transpose(0, 2, 1).astype(np.float32), p["E"].astype(np.float32)
+
+
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple[int, ...]) -> np.ndarray:
+    """An array that is made anew only where the last one of the name is too small."""
+    size = int(np.prod(shape))
+    if name not in _rooms or _rooms[name].size < size:
+        _rooms[name] = np.empty(size, np.float32)
+    return _rooms[name][:size].reshape(shape)
+
+
+def tag_scores(p: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``emissions`` without what training needs, of rows of character ids in falling order of their lengths, as (tag,
+    row, time), valid until the next call. Both directions go step by step together; either begins at the row's own end, so padding has no part."""
+    gates, tags, vectors = _fused(p)
+    n, steps = x.shape
+    e = _room("e", (D, steps, n))
+    np.take(vectors.T, np.ascontiguousarray(x.T), axis=1, out=e, mode="clip")
+    em = _room("em", (steps, K, n))
+    em[:] = p["bo"][:, None]
+    put = np.zeros((2, H + D + 1, n), np.float32)  # what the gates read: states, vectors of characters, ones
+    put[:, H + D] = 1
+    a, c, said = np.empty((2, 4 * H, n), np.float32), np.zeros((2, H, n), np.float32), np.empty((2, K, n), np.float32)
+    s, g, h = a[:, : 3 * H], a[:, 3 * H :], put[:, :H]
+    live = np.searchsorted(-lengths, -np.arange(steps)[::-1], side="left")  # rows that have begun from behind
+    for t in range(steps):
+        put[0, H : H + D] = e[:, t]
+        put[1, H : H + D] = e[:, steps - 1 - t]
+        np.matmul(gates, put, out=a)
         np.tanh(a, out=a)
-        s *= 0.5
-        s += 0.5
-        c *= s[H : 2 * H]
-        g *= s[:H]
+        s += 1
+        c *= s[:, H : 2 * H]
+        g *= s[:, :H]
         c += g
-        h = out[t]
+        c *= 0.5
         np.tanh(c, out=h)
-        h *= s[2 * H :]
+        h *= s[:, 2 * H :]
+        if live[t] < n:
+            c[1, :, live[t] :] = 0
+            h[1, :, live[t] :] = 0
+        np.matmul(tags, h, out=said)
+        em[t] += said[0]
+        em[steps - 1 - t] += said[1]
+    out = _room("out", (K, n, steps))
+    out[:] = em.transpose(1, 2, 0)
     return out
 
 
-def tag_scores(p: dict, x: np.ndarray) -> np.ndarray:
-    """``emissions`` of trained networks, as (row, time, tag)."""
-    xt = np.ascontiguousarray(x.T).astype(np.intp)
-    f = _states(p["E"] @ p["Wf"] + p["bf"], p["Uf"], xt)
-    b = _states(p["E"] @ p["Wb"] + p["bb"], p["Ub"], xt[::-1])[::-1]
-    em = np.matmul(p["Wo"][:H].T, f) + np.matmul(p["Wo"][H:].T, b)
-    return em.transpose(2, 0, 1) + p["bo"]
-
-
 def _lstm_back(dh_out, u, saved):
     dz, dh, dc = np.empty((len(saved), dh_out.shape[1], 4 * H), dtype=np.float32), 0.0, 0.0
     du = np.zeros_like(u)
@@ -299,9 +341,9 @@ def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, di
 
 
 def train(texts: list[tuple[str, list[tuple[int, int, str]]]], steps: int = STEPS, seed: int = SEED) -> dict:
-    """Fit by Adam on labelled texts, drawn in batches; a text longer than a window is cut there."""
+    """Fit by Adam on labelled texts, drawn in batches; a text longer than LENGTH is cut there."""
     rng = np.random.default_rng(seed)
-    x, y = map(np.array, zip(*(_encode(t, s, WINDOW) for t, s in texts), strict=True))
+    x, y = map(np.array, zip(*(_encode(t, s, LENGTH) for t, s in texts), strict=True))
     p = initial(rng)
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
@@ -328,30 +370,61 @@ def default_model(texts: int = 6000, seed: int = SEED) -> dict:
 
 
 def _viterbi(p: dict, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best tags (time, row) of rows padded at their ends. Predecessors are looked up on the way back only."""
+    """Best tags (time, row) for scores (time, tag, row) of rows padded at their ends, in rising order of their lengths. Predecessors are looked up
+    on the way back only, and only where either tag isn't O."""
     trans = np.where(ALLOWED, p["T"], _NEVER).astype(np.float32)
-    steps, n, _ = em.shape
+    steps, _, n = em.shape
     begin = [0, *range(1, K, 2)]
     into = np.ascontiguousarray(trans[:, begin])[:, :, None]
     score = np.empty((steps, K, n), dtype=np.float32)
-    score[0] = em[0].T + (p["S"] + np.where(np.arange(K) % 2 + (np.arange(K) == 0) > 0, 0.0, _NEVER))[:, None]
+    score[0] = em[0] + (p["S"] + np.where(np.arange(K) % 2 + (np.arange(K) == 0) > 0, 0.0, _NEVER)).astype(np.float32)[:, None]
     b, i = np.arange(1, K, 2), np.arange(2, K, 2)
     stay, go = trans[i, i][:, None], trans[b, i][:, None]
+    room = np.empty((K, len(begin), n), dtype=np.float32)
+    best, two = np.empty((len(begin), n), np.float32), np.empty((2, len(i), n), np.float32)
+    same = np.empty((steps, n), dtype=bool)  # an O there has an O before it
+    done = np.searchsorted(lengths, np.arange(steps), side="right")
     for t in range(1, steps):
         s, now = score[t - 1], score[t]
-        now[begin] = (s[:, None, :] + into).max(axis=0)
-        now[2::2] = np.maximum(s[1::2] + go, s[2::2] + stay)
-        now += em[t].T
-        if t >= lengths.min():
-            now[:, t >= lengths] = s[:, t >= lengths]
+        np.add(s[:, None, :], into, out=room)
+        np.max(room, axis=0, out=best)
+        now[0], now[1::2] = best[0], best[1:]
+        np.equal(room[0, 0], best[0], out=same[t])
+        np.add(s[1::2], go, out=two[0])
+        np.add(s[2::2], stay, out=two[1])
+        np.maximum(two[0], two[1], out=now[2::2])
+        now += em[t]
+        if done[t]:
+            now[:, : done[t]] = s[:, : done[t]]
     tags = np.zeros((steps, n), dtype=np.int8)
     tags[-1] = score[-1].argmax(axis=0)
     for t in range(steps - 1, 0, -1):
-        best = (score[t - 1] + trans[:, tags[t]]).argmax(axis=0)
-        tags[t - 1] = np.where(t < lengths, best, tags[t])
+        now = tags[t]
+        if (k := np.flatnonzero((now > 0) | ~same[t])).size:
+            tags[t - 1, k] = (score[t - 1][:, k] + trans[:, now[k]]).argmax(axis=0)
+        if done[t]:
+            tags[t - 1, : done[t]] = now[: done[t]]
     return tags
 
 
+def _only_o(p: dict, em: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Chunks whose best path is O throughout, as far as a bound tells. A span gains at most, over O: the best B- tag at
+    its first character, the best of all tags at the others, and two transitions for each character. Where no span's
+    bound is above 0, no path beats O."""
+    trans = np.where(ALLOWED, p["T"], _NEVER)
+    most = 2 * max(0.0, float((trans - trans[0, 0]).max()))
+    opens = em[1::2].max(axis=0) - em[0] + most
+    stays = np.maximum(em[2::2].max(axis=0) - em[0] + most, opens)
+    first = max(0.0, float((p["S"][1::2] - p["S"][0]).max()))
+    out = np.zeros(len(start), dtype=bool)
+    for k, (a, b) in enumerate(zip(start, end, strict=True)):
+        so_far = np.cumsum(stays[a:b], dtype=np.float64)
+        begun = opens[a:b] - so_far
+        begun[0] += first
+        out[k] = (np.maximum.accumulate(begun) + so_far).max() < -1e-3
+    return out
+
+
 def _grid(lengths: np.ndarray, offsets: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in the joined characters, of pieces of ``size`` every ``stride`` that cover every region."""
     count = np.maximum(1, -(-(lengths - size) // stride) + 1)
@@ -361,36 +434,46 @@ def _grid(lengths: np.ndarray, offsets: np.ndarray, size: int, stride: int) -> t
 
 
 def decode(p: dict, regions: list[np.ndarray]) -> list[np.ndarray]:
-    """Tags of every character of regions of character ids. Windows overlap by half, the scores of a character are the
+    """Tags of every character of regions of character ids. Windows overlap, the scores of a character are the
     weighted mean over the windows that hold it, and the CRF then decodes each region over these common scores, in
     chunks that share OVERLAP characters with the next, of which each chunk keeps its nearer half."""
     lengths = np.array([len(r) for r in regions])
     offsets = np.cumsum(lengths) - lengths
     x = np.concatenate(regions)
-    acc, weight = np.zeros((len(x), K), dtype=np.float32), np.zeros((len(x), 1), dtype=np.float32)
+    acc = np.zeros((K, len(x)), dtype=np.float32)
     start, end = _grid(lengths, offsets, WINDOW, STRIDE)
-    hat = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
-    at_once = 256
-    for side in (0, 1):  # every other window of a text: these share no characters
-        mine = np.flatnonzero((start - offsets[np.searchsorted(offsets, start, side="right") - 1]) // STRIDE % 2 == side)
-        for lo in range(0, len(mine), at_once):
-            pick = mine[lo : lo + at_once]
-            at = start[pick][:, None] + np.arange(WINDOW)
-            inside = at < end[pick][:, None]
-            em = tag_scores(p, np.where(inside, x[np.minimum(at, len(x) - 1)], 0)) * hat[:, None]
-            acc[at[inside]] += em[inside]
-            weight[at[inside], 0] += np.broadcast_to(hat, inside.shape)[inside]
-    acc /= weight
+    first, last = np.isin(start, offsets), np.isin(end, offsets + lengths)
+    shared = WINDOW - STRIDE
+    rise = (np.arange(1, shared + 1, dtype=np.float32) / (shared + 1))  # weights of two windows sum to one
+    order = np.argsort(start - end, kind="stable")
+    longest = (end - start)[order]
+    lo = 0
+    while lo < len(order):  # windows of like length together
+        hi = min(lo + AT_ONCE, max(lo + LEAST, int(np.searchsorted(-longest, -0.8 * longest[lo], side="right"))))
+        pick, lo = order[lo:hi], hi
+        size = end[pick] - start[pick]
+        steps = np.arange(size[0])
+        ids = x.take(start[pick][:, None] + steps, mode="clip")
+        em = tag_scores(p, np.where(steps < size[:, None], ids, 0), size)
+        for k, w in enumerate(pick):
+            a, n = start[w], size[k]
+            own = em[:, k, :n]
+            if not first[w]:
+                own[:, :shared] *= rise[:n]
+            if not last[w]:
+                own[:, n - shared :] *= rise[::-1]
+            acc[:, a : a + n] += own
     tags = np.zeros(len(x), dtype=np.int8)
     start, end = _grid(lengths, offsets, CHUNK, CHUNK - OVERLAP)
     last = end == np.repeat(offsets + lengths, np.maximum(1, -(-(lengths - CHUNK) // (CHUNK - OVERLAP)) + 1))
     first = np.isin(start, offsets)
     order = np.argsort(end - start, kind="stable")
-    for lo in range(0, len(order), 256):
-        pick = order[lo : lo + 256]
+    order = order[~_only_o(p, acc, start, end)[order]]
+    for lo in range(0, len(order), AT_ONCE):
+        pick = order[lo : lo + AT_ONCE]
         n = end[pick] - start[pick]
         at = np.minimum(start[pick][None, :] + np.arange(n.max())[:, None], len(x) - 1)
-        got = _viterbi(p, acc[at], n)
+        got = _viterbi(p, acc[:, at].transpose(1, 0, 2), n)
         for k, c in enumerate(pick):
             a = 0 if first[c] else OVERLAP // 2
             b = n[k] if last[c] else n[k] - OVERLAP // 2
@@ -428,6 +511,11 @@ def _whole(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
     return a, b
 
 
+def _can_be(value: str, kind: str) -> bool:
+    """No address is without an @ and no number without a digit; a secret may be anything."""
+    return kind == "SECRET" or ("@" in value if kind == "EMAIL" else any(c.isdigit() for c in value))
+
+
 def find(p: dict, texts: pa.Array) -> list[tuple[int, int, int, str]]:
     """(row, start, end, kind) of every span, in characters, ordered, not overlapping."""
     found = []
@@ -444,16 +532,15 @@ def _find(p: dict, texts: pa.Array) -> list[tuple[int, int, int, str]]:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, side="right")) - 1)
         rows = [k for k in range(lo, hi) if off[k + 1] > off[k]]
         strings = [data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace") for k in rows]
-        ids = [char_ids(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)) for text in strings]
+        ids = [text_ids(text) for text in strings]
         tagged = decode(p, ids) if len(ids) > 1 else [_decode_long(p, x) for x in ids]
         for r, text, tags in zip(rows, strings, tagged, strict=True):
-            for a, b, kind in _tag_spans(tags):
+            for a, b, kind in _tag_spans(tags[1:-1]):
                 a, b = _whole(text, int(a), int(b), kind)
-                if b - a >= 6 and (kind == "SECRET" or ("@" in text[a:b] if kind == "EMAIL" else any(c.isdigit() for c in text[a:b]))):
-                    if found and found[-1][0] == r and found[-1][2] > a:
-                        a = found[-1][2]
-                    if b > a:
-                        found.append((r, a, b, kind))
+                if found and found[-1][0] == r and found[-1][2] > a:
+                    a = found[-1][2]
+                if b > a and _can_be(text[a:b], kind):
+                    found.append((r, a, b, kind))
         lo = hi
     return found
 
@@ -461,9 +548,10 @@ def _find(p: dict, texts: pa.Array) -> list[tuple[int, int, int, str]]:
 def private_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, start, end, kind) of every span of private data, in characters of the text, end exclusive.
 
-    The model tags each character of each text; spans of under 6 characters, addresses without an
-    @ and numbers without a digit are dropped; a secret may be of letters only. Null doc_id or text and texts without a span give no row; repeated rows give their spans each;
-    extra columns are never read. A text of any length is searched whole."""
+    The model tags each character of each text, and every span of its tags is reported, grown to whole words, but for
+    addresses without an @ and numbers without a digit. Spans of one text never overlap: the later one gives way. Null
+    doc_id or text and texts without a span, such as empty ones, give no row; repeated rows give their spans each; extra
+    columns are never read. A text of any length is searched whole. An empty table gives an empty result."""
     ship(docs.sparkSession)
     p = model or default_model()
 
@@ -482,7 +570,8 @@ def private_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 def mask_private(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, where there is such a column of whole
-    numbers, follows the text. All rows and columns stay; a null text stays null."""
+    numbers, follows the text. All rows, repeated ones too, and columns stay, whatever their names; a null text stays
+    null and an empty one empty, a text of any length is masked whole, and an empty table gives an empty result."""
     ship(docs.sparkSession)
     p, names, schema = model or default_model(), docs.columns, docs.schema
     at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1

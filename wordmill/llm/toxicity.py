@@ -198,12 +198,16 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; rows keep all their columns, null texts stay."""
-    model, at = train(docs, labels), docs.columns.index("text")
+    """``docs`` without the rows that score ``threshold`` or more. Rows keep all their columns, whatever their names;
+    rows without a doc_id or a text, or with an empty one, stay; repeated rows share one score and fate; very long texts
+    are scored whole; an empty table gives an empty result, and with empty ``labels`` every row stays."""
+    model, at, id_at = train(docs, labels), docs.columns.index("text"), docs.columns.index("doc_id")
 
     def clean(batches):
         for b in batches:
             for lo, hi, h, off in word_blocks(b.column(at)):
-                yield b.slice(lo, hi - lo).filter(pa.array((model.scores(h, off) < threshold) | (np.diff(off) == 0)))
+                part = b.slice(lo, hi - lo)
+                nameless = part.column(id_at).is_null().to_numpy(zero_copy_only=False)
+                yield part.filter(pa.array((model.scores(h, off) < threshold) | (np.diff(off) == 0) | nameless))
 
     return docs.mapInArrow(clean, docs.schema)
