@@ -1,7 +1,8 @@
-"""A Bloom filter of fixed size over 64-bit hashes, filled by Spark and asked by numpy.
+"""A Bloom filter over 64-bit hashes, filled by Spark and asked by numpy.
 
-It only keeps rows without a partner from being shuffled: the join behind it decides. When more keys than it can tell
-apart come in, it lets more rows through, and the result stays the same."""
+It only keeps rows without a partner from being shuffled: the join behind it decides. It has 16 bits a key and two of
+them set, so 1.4 % of other keys pass; beyond 2**25 keys it grows no more (64 MB in each task), lets more rows through,
+and the result stays the same."""
 
 from __future__ import annotations
 
@@ -10,17 +11,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash
 
-#: 4 MB, whatever the input; two bits a key.
-BITS = 1 << 25
+#: Bits a key, and the least and most bits of a filter.
+KEY_BITS, LEAST, MOST = 16, 1 << 20, 1 << 29
 
 
-def fill(keys: DataFrame, key: Column) -> np.ndarray:
-    """The filter's bytes. Spark ors the bits by words of 64, so BITS / 64 rows at most reach the driver."""
-    bit = keys.select(F.explode(F.array(key.bitwiseAND(BITS - 1), F.shiftrightunsigned(key, 32).bitwiseAND(BITS - 1))).alias("b"))
+def fill(keys: DataFrame, key: Column, count: int | None = None) -> np.ndarray:
+    """The filter's bytes. Spark ors the bits by words of 64; the words that aren't 0 reach the driver, one for every
+    key or fewer. ``count``, if it is known, is the number of keys."""
+    count = keys.count() if count is None else count
+    bits = min(MOST, max(LEAST, 1 << (KEY_BITS * max(1, count) - 1).bit_length()))
+    bit = keys.select(F.explode(F.array(key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1))).alias("b"))
     words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x")).toArrow()
-    filled = np.zeros(BITS // 64, dtype=np.int64)
+    filled = np.zeros(bits // 64, dtype=np.int64)
     filled[words.column("w").to_numpy()] = words.column("x").to_numpy()
     return filled.view(np.uint8)
 
@@ -31,7 +35,7 @@ def _set(filled: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 def may_hold(filled: np.ndarray, h: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Places of the hashes, of those that ``among`` marks, that the filter may hold."""
-    low = np.uint64(BITS - 1)
+    low = np.uint64(8 * len(filled) - 1)
     at = np.flatnonzero(_set(filled, h & low) & among)
     return at[_set(filled, (h[at] >> np.uint64(32)) & low)]
 
@@ -40,8 +44,9 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose key is in the one column of ``gone``; null keys stay, as do all columns.
 
     Rows whose key the filter rules out aren't shuffled; the others go through an anti-join."""
-    gone = stash(gone.select(F.col(gone.columns[0]).cast("long").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
-    filled = fill(gone, F.xxhash64("__gone"))
+    gone_name, may_name = fresh(docs, "gone", "may_go")
+    gone = stash(gone.select(F.col(gone.columns[0]).cast("long").alias(gone_name)).where(F.col(gone_name).isNotNull()).distinct(), "gone")
+    filled = fill(gone, F.xxhash64(gone_name))
 
     @F.pandas_udf("boolean")
     def may_go(h: pd.Series) -> pd.Series:
@@ -49,7 +54,7 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
         out[may_hold(filled, h.to_numpy(dtype=np.int64).view(np.uint64), np.ones(len(h), dtype=bool))] = True
         return pd.Series(out)
 
-    marked = docs.withColumn("__may_go", may_go(F.xxhash64(F.col(key).cast("long"))))
-    rest = marked.where("__may_go")
-    kept = rest.join(gone, rest[key].cast("long") == gone["__gone"], "left_anti")
-    return marked.where("NOT __may_go").unionByName(kept).drop("__may_go")
+    marked = docs.withColumn(may_name, may_go(F.xxhash64(F.col(key).cast("long"))))
+    rest = marked.where(F.col(may_name))
+    kept = rest.join(gone, rest[key].cast("long") == gone[gone_name], "left_anti")
+    return marked.where(~F.col(may_name)).unionByName(kept).drop(may_name)

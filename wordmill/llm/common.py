@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a local master;
+    on a cluster the executors would not share it, and that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = _own.setdefault(spark.sparkContext.applicationId, "")
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = _own.get(spark.sparkContext.applicationId)
         if not path:
             path = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="wordmill-")
     return path.rstrip("/")
@@ -55,6 +58,20 @@ def drop(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def written() -> set[str]:
+    """Paths of the stashed tables that there are now."""
+    return {path for _, path in _written}
+
+
+def release(before: set[str], keep: DataFrame) -> None:
+    """Delete what has been stashed since ``written`` gave ``before``, but for ``keep``: to be called when ``keep``, the
+    only result that was wanted, has been stashed."""
+    gone = written() - before - {keep.stash_path}
+    for spark, path in [x for x in _written if x[1] in gone]:
+        _delete(spark, path)
+    _written[:] = [x for x in _written if x[1] not in gone]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -74,6 +91,17 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}") in taken:
+            pass
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def ids_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that operators read; rows with a null key or text take no part."""
     ship(docs.sparkSession)

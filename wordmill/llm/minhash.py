@@ -134,17 +134,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two texts are near when the Jaccard similarity of their sets of word 3-grams, estimated from odd sketches of 128
     MinHash samples, is 0.6 or more; a group is a connected component. Candidates share one of 32 bands of 4
-    samples, which finds a pair at 0.6 with probability 0.988. Documents with equal samples are joined first, by one
-    aggregation; buckets have no size limit.
+    samples, which finds a pair at 0.6 with probability 0.988; the estimate then accepts about half the pairs at 0.6 and
+    nearly all from 0.7 on. Documents with equal samples and sketches are joined first, by one aggregation; buckets have
+    no size limit.
 
     Null doc_id or text and texts without a word take no part. Rows that repeat a doc_id are one document: they
     share its group and its fate. Ties don't arise, the smallest doc_id stays. Other columns are never read. An
     empty table gives an empty result."""
     signed_ = stash(ids_and_text(docs).mapInArrow(_sign, _SIGNED), "signatures")
-    reps = signed_.groupBy("sig").agg(F.min(F.struct("doc_id", "sketch", "bands")).alias("r"), F.max("doc_id").alias("last"))
-    many = reps.where("last > r.doc_id").select("sig", F.col("r.doc_id").alias("v"))
-    copies = signed_.select("sig", F.col("doc_id").alias("u")).join(many, "sig").where("u != v").select("u", "v")
-    banded = reps.select("r.doc_id", "r.sketch", F.explode("r.bands").alias("key"))
+    reps = signed_.groupBy("sig", "sketch").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.max("doc_id").alias("last"))
+    many = reps.where("last > r.doc_id").select("sig", "sketch", F.col("r.doc_id").alias("v"))
+    copies = signed_.select("sig", "sketch", F.col("doc_id").alias("u")).join(many, ["sig", "sketch"]).where("u != v").select("u", "v")
+    banded = reps.select("r.doc_id", "sketch", F.explode("r.bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).where(F.size("members") > 1)
     links = buckets.select("members").mapInArrow(_link, "u long, v long")
     found = connected(links.union(copies))

@@ -12,7 +12,7 @@ from .tokens import mix, spans
 
 #: Words from which a common prefix of two suffixes is a repeat; words that the first ranks look at.
 THRESHOLD = 50
-BASE = 8
+BASE = 4
 
 
 def lengths(threshold: int, base: int) -> list[tuple[int, int]]:
@@ -118,7 +118,7 @@ def repeated_suffixes(docs: DataFrame, threshold: int = THRESHOLD, base: int = B
 
     All suffixes of all texts are sorted by their first ``base`` words (as 64-bit hashes, whose order is as good as any)
     and ranked. Then, in rounds, the pairs (rank of a suffix, rank of the suffix an offset further) are sorted and ranked
-    anew, by 16, 32 and 50 words; a suffix that is unique drops out, and at the threshold what is left is repeated.
+    anew, by 8, 16, 32 and 50 words; a suffix that is unique drops out, and at the threshold what is left is repeated.
     Ranks between rounds are tables in the shared folder.
 
     Null doc_id or text and texts of under ``threshold`` words give no row. Rows that repeat a doc_id are one document:
