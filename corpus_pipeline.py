@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wordmill.llm import decontaminate, minhash, packing, pii, toxicity
-from wordmill.llm.common import stash, table
+from wordmill.llm.common import release, stash, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over ``documents``; each but the last is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = written() - {getattr(docs, "stash_path", "")}
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stash(docs, name)
+            release(before, docs)  # the stage's input and its tables
     return docs
