@@ -1,8 +1,8 @@
 """A Bloom filter over 64-bit hashes, filled by Spark and asked by numpy.
 
-It only keeps rows without a partner from being shuffled: the join behind it decides. It has 16 bits a key and two of
-them set, so 1.4 % of other keys pass; beyond 2**25 keys it grows no more (64 MB in each task), lets more rows through,
-and the result stays the same."""
+It only keeps rows without a partner from being shuffled: the join behind it decides. It has 16 bits a key, or as many
+as its user asks for, and two of them set, so 1.4 % of other keys pass; from 2**29 bits on it grows no more (64 MB in
+each task), lets more rows through, and the result stays the same."""
 
 from __future__ import annotations
 
@@ -17,11 +17,10 @@ from .common import fresh, stash
 KEY_BITS, LEAST, MOST = 16, 1 << 20, 1 << 29
 
 
-def fill(keys: DataFrame, key: Column, count: int | None = None) -> np.ndarray:
-    """The filter's bytes. Spark ors the bits by words of 64; the words that aren't 0 reach the driver, one for every
-    key or fewer. ``count``, if it is known, is the number of keys."""
-    count = keys.count() if count is None else count
-    bits = min(MOST, max(LEAST, 1 << (KEY_BITS * max(1, count) - 1).bit_length()))
+def fill(keys: DataFrame, key: Column, key_bits: int = KEY_BITS) -> np.ndarray:
+    """The filter's bytes. Spark ors the bits by words of 64; the words that aren't 0 reach the driver, two for every
+    key at most."""
+    bits = min(MOST, max(LEAST, 1 << (key_bits * max(1, keys.count()) - 1).bit_length()))
     bit = keys.select(F.explode(F.array(key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1))).alias("b"))
     words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x")).toArrow()
     filled = np.zeros(bits // 64, dtype=np.int64)

@@ -18,6 +18,9 @@ MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 8), (0, 2, 4, 5, 8, 9), (0, 1, 4, 6
 #: substitution at most. An item of under SHORTEST words is found in texts that hold nothing else.
 MATCHED, PENALTY, TOLERANT, SHORTEST = 13, 3, 8, 6
 
+#: Bits of the filter for each seed: every position of every text asks it five times or more.
+SEED_BITS = 1024
+
 _W = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -158,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     masks = masks_for(sizes)
     seeds = stash(bench.mapInArrow(_seeds(masks), "seed long, item_id long, item_pos int").distinct(), "seeds")
     reach = items.agg(F.max(F.size("item_words"))).first()[0] or 0
-    filled = bloom.fill(seeds, F.col("seed"))
+    filled = bloom.fill(seeds, F.col("seed"), SEED_BITS)
 
     def scan(batches):
         for b in batches:
