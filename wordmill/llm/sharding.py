@@ -93,13 +93,13 @@ def shards(docs: DataFrame, columns: tuple[str, ...] = ("source", "doc_id"), sha
     cuts = np.maximum(1, -(-held // shard_bytes))
     first = np.cumsum(cuts) - cuts
 
-    @F.pandas_udf("struct<first: long, cuts: long, bytes: long>")
+    @F.pandas_udf("struct<range: int, first: long, cuts: long, bytes: long>")
     def place(key: pd.Series) -> pd.DataFrame:
         at = np.searchsorted(ends, np.array(key.tolist(), dtype=bytes)) if len(ends) else np.zeros(len(key), np.int64)
-        return pd.DataFrame({"first": first[at], "cuts": cuts[at], "bytes": np.maximum(1, held[at])})
+        return pd.DataFrame({"range": at.astype(np.int32), "first": first[at], "cuts": cuts[at], "bytes": np.maximum(1, held[at])})
 
-    placed = named.withColumn(at_name, place(key_name)).repartition(len(cuts), F.col(at_name)["first"])
-    before = F.sum(size_name).over(Window.partitionBy(F.col(at_name)["first"]).orderBy(key_name).rowsBetween(Window.unboundedPreceding, -1))
     at = F.col(at_name)
+    placed = named.withColumn(at_name, place(key_name)).repartitionById(len(cuts), at["range"])  # a range a partition
+    before = F.sum(size_name).over(Window.partitionBy(at["range"]).orderBy(key_name).rowsBetween(Window.unboundedPreceding, -1))
     part = F.least(F.floor(F.coalesce(before, F.lit(0)) * at["cuts"] / at["bytes"]), at["cuts"] - 1)
     return placed.withColumn("shard_id", (at["first"] + part).cast("int")).drop(key_name, size_name, at_name)
