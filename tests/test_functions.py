@@ -105,10 +105,10 @@ def test_pinyin(spark):
 
 
 def test_merged_spans(spark):
-    cases = [([(1, 6), (4, 9), (11, 16)], [(1, 9), (11, 16)]), ([(0, 2), (2, 4)], [(0, 2), (2, 4)]), ([], []), ([(5, 6), (0, 9)], [(0, 9)])]
-    df = spark.createDataFrame([(a,) for a, _ in cases], highlight.SPANS.join(["s ", ""]))
-    got = df.select(highlight.merge_spans(F.col("s")).alias("m")).collect()
-    assert [[tuple(x) for x in r.m] for r in got] == [b for _, b in cases]
+    cases = [([(1, 6), (4, 9), (11, 16)], [(1, 9), (11, 16)]), ([(0, 2), (2, 4)], [(0, 2), (2, 4)]), ([], []), ([(5, 6), (0, 9)], [(0, 9)]), ([(0, 9), (1, 2), (3, 12)], [(0, 12)])]
+    df = spark.createDataFrame([(k, *s) for k, (spans, _) in enumerate(cases) for s in spans], "doc_id int, start int, end int")
+    got = highlight.merge_rows(df).collect()
+    assert [sorted((r.start, r.end) for r in got if r.doc_id == k) for k in range(len(cases))] == [b for _, b in cases]
 
 
 def test_highlighting_runs_of_chinese(spark):

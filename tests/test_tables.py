@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wordmill import catalog
+from wordmill import catalog, catalog_mixed
 from wordmill.engine import Engine
 from wordmill.operators.index import Index, dense_ids
 from wordmill.sources.tables import attach_documents, load_index, read_documents, save_index
@@ -84,11 +84,14 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     assert sorted((r.window.start.minute, r.term, r["count"]) for r in spark.table("counted").collect()) == [(0, "a", 2), (0, "b", 1), (1, "b", 1)]
 
 
-@pytest.mark.parametrize("name", ["search", "match_mixed", "term_stats", "batch_search", "related_terms", "merged_spans", "tfidf", "search_fuzzy"])
+MIXED = ["mixed_tokens", "search_chinese", "match_mixed_words", "search_pinyin_chinese", "match_fuzzy_term", "refused_queries", "explain_or", "index_and_remove", "read_formats", "results_as_json"]
+
+
+@pytest.mark.parametrize("name", ["search", "match_mixed", "term_stats", "batch_search", "related_terms", "merged_spans", "tfidf", "search_fuzzy", *MIXED])
 def test_queries_against_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
-    for t in ("documents", "lineitem", "benchmark", "part"):
+    for t in ("documents", "lineitem", "benchmark", "part", "nation"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.sql(catalog.SQL[name]).df()
     got = catalog.QUERIES[name](spark, SF).toPandas()
@@ -98,8 +101,38 @@ def test_queries_against_duckdb(spark, name):
     assert order(got).equals(order(want))
 
 
+def test_options_and_results_as_json(spark):
+    from wordmill.options import SearchOptions
+    from wordmill.sources import wire
+
+    given = wire.options_from_json('{"fuzzy": true, "maxEditDistance": 1, "usePinyin": true, "limit": 5, "other": null}')
+    assert given == SearchOptions(fuzzy=True, max_edit_distance=1, use_pinyin=True, limit=5)
+    assert wire.options_from_json(wire.options_to_json(given)) == given and wire.options_from_json("") == SearchOptions()
+    for bad in ("[]", '{"limit": "5"}', '{"limit": -1}', '{"fuzzy": 1}'):
+        with pytest.raises(ValueError):
+            wire.options_from_json(bad)
+    engine = Engine(spark)
+    engine.index_batch(["one two", "two"])
+    got = wire.results_to_json(engine.search("one", SearchOptions(explain=True))).first().json
+    assert got.startswith('{"docId":0,"score":') and '"matchPositions":[{"start":0,"end":3}]' in got and '"matchReasons":[{"code":"term"' in got and "snippet" not in got
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from wordmill import cluster
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.rsplit(".", 2)[1], default)), sparkContext=SimpleNamespace(master=master, applicationId=str(tmp_path)))
+
+    assert cluster.shared_dir(session("yarn", checkpoint=f"{tmp_path}/")) == str(tmp_path)
+    assert cluster.shared_dir(session("local[2]")) == cluster.shared_dir(session("local"))
+    with pytest.raises(ValueError):
+        cluster.shared_dir(session("local-cluster[2,1,1024]"))
+
+
 def test_entry_without_the_training_operators(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["doc_id", "score"]
-    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert catalog_mixed and set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import scratch
 from .engine import Engine
 from .functions import similarity, tokenize
 from .operators import highlight, rank
@@ -346,9 +346,8 @@ SELECT l_orderkey, CAST(min(a) AS INTEGER) AS start, CAST(max(z) AS INTEGER) AS
 )
 def merged_spans(spark, d):
     a = (F.col("l_partkey") % 100).cast("int")
-    spans = F.collect_set(F.struct(a.alias("start"), (a + F.col("l_quantity").cast("int")).alias("end")))
-    per = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(spans.alias("spans"))
-    return per.select("l_orderkey", F.explode(highlight.merge_spans(F.col("spans"))).alias("s")).select("l_orderkey", "s.start", "s.end")
+    spans = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", a.alias("start"), (a + F.col("l_quantity").cast("int")).alias("end"))
+    return highlight.merge_rows(spans.distinct(), "l_orderkey").select("l_orderkey", "start", "end")
 
 
 @_query(f"{_STATS}, {_scores(['of', 'the'], _all_of(['of', 'the']))}, top AS ({_top()}) SELECT top.doc_id, score, lang, source FROM top LEFT JOIN documents USING (doc_id)")
@@ -422,11 +421,6 @@ def damerau_levenshtein(spark, d):
     return _words(spark, d).select("term", similarity.damerau_levenshtein("term", F.lit("hteer")).alias("distance"))
 
 
-@_query()
-def lcs_similarity(spark, d):
-    return _words(spark, d).select("term", F.round(similarity.lcs_similarity("term", F.lit("therein")), 6).alias("similarity"))
-
-
 @_query(
     f"""{_STATS}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (term IN ('the', 'of', 'and', 'to')) AS common FROM tf GROUP BY doc_id)
 SELECT doc_id, round(common / (n + 4.0 - common), 6) AS similarity FROM s"""
@@ -463,24 +457,13 @@ def related_terms(spark, d):
     return engine.related(hits, set(query_terms("the of")), 25).select("term", F.round("score", 6).alias("score"), "doc_frequency", "total_frequency")
 
 
-@_query()
-def suggest_related(spark, d):
-    return _engine(spark, d).suggest_related("worthless pathetic", 10).withColumn("source_doc_ids", F.array_join(F.col("source_doc_ids").cast("array<string>"), " "))
-
-
-@_query()
-def search_pinyin(spark, d):
-    return _found(_engine(spark, d).search_pinyin("the"))
-
-
 # Streaming
 
 
 @_query(f"{_STATS} SELECT term, df, total_tf FROM df")
 def stream_index(spark, d):
     """The statistics of an index that a stream of the documents has filled."""
-    out = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = f"{out.rstrip('/')}/wordmill-stream-{os.urandom(6).hex()}"
+    out = scratch(spark, "stream")
     folder = f"{d}/documents.parquet" if not os.path.isfile(f"{d}/documents.parquet") else f"{d}/documents*.parquet"
     stream = ingest.read_stream(spark, folder, _docs(spark, d).schema.simpleString()[7:-1].replace(":", " "))
     ingest.ingest(stream, f"{out}/index", f"{out}/log", available_now=True).awaitTermination()

@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,3 +29,20 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(made.getvalue())
     sc.addPyFile(path)  # the driver serves the file to every executor, later ones too
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a local master;
+    on a cluster the executors would not share it, and that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="wordmill-")
+    return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/wordmill-{uuid.uuid4().hex[:12]}-{name}"

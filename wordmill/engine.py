@@ -118,7 +118,7 @@ class Engine:
         plan = self._plan(query, options)
         if plan is None:
             return self.spark.createDataFrame([], "doc_id long, score double")
-        return self._scored(plan, self._matched(plan.relevant, plan.pinyin)).select("doc_id", "score")
+        return self._scored(plan, self._matched([plan])).select("doc_id", "score")
 
     def search_pinyin(self, query: str) -> DataFrame:
         return self.search(query, SearchOptions(use_pinyin=True))
@@ -136,7 +136,7 @@ class Engine:
         live = [p for p in plans if p is not None]
         if not live:
             return self.spark.createDataFrame([], "query_id int, query string, " + RESULT)
-        base = self._matched(reduce(lambda a, b: a | b, [p.relevant for p in live]), any(p.pinyin for p in live))
+        base = self._matched(live)
         parts = [
             self._finish(p, self._scored(p, base)).select(F.lit(k).alias("query_id"), F.lit(queries[k]).alias("query"), "*")
             for k, p in enumerate(plans)
@@ -148,7 +148,7 @@ class Engine:
         plan = self._plan(query, options)
         if plan is None:
             return self.spark.createDataFrame([], RESULT)
-        return self._finish(plan, self._scored(plan, self._matched(plan.relevant, plan.pinyin)))
+        return self._finish(plan, self._scored(plan, self._matched([plan])))
 
     def _plan(self, query: str, options: SearchOptions) -> _Plan | None:
         """What the driver decides: the tree, its terms and their expansions. None if nothing can match."""
@@ -175,17 +175,13 @@ class Engine:
         near = sorted({t for e in expansions.values() for t in e} - set(include))
         scores = options.fuzzy or (not options.strict_compat and bool(expansions))
         scoring = include + (near if scores else [])
-        pinyin_terms = []
-        if use_pinyin:
-            found = pinyin.search_by_pinyin_detailed(self.pinyin_terms, text, not options.strict_compat)
-            pinyin_terms = [r.term for r in found.toLocalIterator()]
-        names = sorted({t for leaf in q.leaves(parsed.root) for t in q._terms_of(leaf, expand, True)} | set(near) | set(include) | set(pinyin_terms))
+        names = sorted({t for leaf in q.leaves(parsed.root) for t in q._terms_of(leaf, expand, True)} | set(near) | set(include))
         term = F.col("term")
         relevant = term.isin(names) if names else F.lit(False)
         for leaf in q.leaves(parsed.root):
             if isinstance(leaf, q.Prefix):
                 relevant = relevant | term.startswith(leaf.prefix)
-        return _Plan(query, text, options, parsed.root, include, scoring, expansions, use_pinyin, pinyin_terms, names, relevant)
+        return _Plan(query, text, options, parsed.root, include, scoring, expansions, use_pinyin, relevant)
 
     def _prefix_terms(self, prefix: str) -> list[str]:
         # one more than the limit is enough to refuse the query
@@ -210,22 +206,29 @@ class Engine:
         if len(self._expanded) > CACHED_EXPANSIONS:
             self._expanded.popitem(last=False)
 
-    def _matched(self, relevant: Column, use_pinyin: bool) -> DataFrame:
+    def _sounding(self, plans: list[_Plan]) -> DataFrame | None:
+        """(term, read): index terms whose reading holds a plan's text, and which texts: a table, joined to the tokens."""
+        parts = [pinyin.search_by_pinyin_detailed(self.pinyin_terms, p.text, not p.options.strict_compat).select("term", F.lit(p.text).alias("text")) for p in plans if p.pinyin]
+        if not parts:
+            return None
+        return reduce(DataFrame.union, parts).groupBy("term").agg(F.sort_array(F.collect_set("text")).alias("read"))
+
+    def _matched(self, plans: list[_Plan]) -> DataFrame:
         """Documents with any relevant term, their entries, and the corpus figures that scores need."""
-        hits = self.index.hits(relevant)
+        hits = self.index.hits(reduce(lambda a, b: a | b, [p.relevant for p in plans]), self._sounding(plans))
         counts = hits.select(F.explode("entries.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         frequencies = counts.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df_of"))
         # two one-row tables
         out = hits.crossJoin(F.broadcast(frequencies)).crossJoin(F.broadcast(self.index.corpus))
-        if use_pinyin:
-            read = self.index.docs.select("doc_id", pinyin.readings(self.spark, F.col("text")).alias("reading"))
-            out = out.join(read, "doc_id")
+        if any(p.pinyin for p in plans):
+            said = self.index.docs.select("doc_id", pinyin.readings(self.spark, F.col("text")).alias("reading"))
+            out = out.join(said, "doc_id")
         return out
 
     def _scored(self, plan: _Plan, base: DataFrame) -> DataFrame:
         matcher = plan.matcher()
         root = matcher.matches(plan.root)
-        by_pinyin = F.arrays_overlap("names", F.array(*map(F.lit, plan.pinyin_terms))) if plan.pinyin_terms else F.lit(False)
+        by_pinyin = F.array_contains("read", plan.text) if plan.pinyin else F.lit(False)
         base = base.withColumn("names", F.col("entries.term"))
         base = base.withColumn("at_map", F.map_from_entries("entries"))
         found = base.withColumns({"by_tree": root, "by_pinyin": by_pinyin}).where("by_tree OR by_pinyin")
@@ -271,7 +274,7 @@ class Engine:
             out = out.join(more, "doc_id", "left")
             out = out.withColumn("positions", F.array_sort(F.array_union("positions", F.coalesce("more_spans", F.array().cast(highlight.SPANS)))))
             out = out.withColumn("matched", F.array_union("matched", F.coalesce("more_terms", F.array().cast("array<string>"))))
-        snippet = highlight.wrap(F.col("text"), highlight.merge_spans(F.col("spans")), self.highlighter) if options.highlight else F.lit(None).cast("string")
+        snippet = highlight.wrap(F.col("text"), F.col("merged"), self.highlighter) if options.highlight else F.lit(None).cast("string")
         return out.select(
             "doc_id",
             "score",
@@ -370,9 +373,9 @@ def is_related(term: Column) -> Column:
 
 
 class _Plan:
-    def __init__(self, query, text, options, root, include, scoring, expansions, use_pinyin, pinyin_terms, names, relevant):
+    def __init__(self, query, text, options, root, include, scoring, expansions, use_pinyin, relevant):
         self.query, self.text, self.options, self.root, self.include, self.scoring = query, text, options, root, include, scoring
-        self.expansions, self.pinyin, self.pinyin_terms, self.names, self.relevant = expansions, use_pinyin, pinyin_terms, names, relevant
+        self.expansions, self.pinyin, self.relevant = expansions, use_pinyin, relevant
 
     def matcher(self) -> Matcher:
         none = F.array().cast("array<int>")

@@ -50,16 +50,24 @@ def to_first_letters(spark: SparkSession, text: str) -> str:
     return "".join(x["initial"] for x in tokens(spark, text))
 
 
+class _Letters(dict):
+    """A table for ``str.translate`` that drops characters without an entry."""
+
+    def __missing__(self, code: int) -> str:
+        return self.setdefault(code, "")
+
+
 def readings(spark: SparkSession, text: Column) -> Column:
     """struct(plain without blanks, initials) of a text; a character maps to several letters, for which no built-in
     function exists. Texts without Chinese are not sent to Python's table."""
     ship(spark)
-    plain = {c: p for c, (_, p) in table(spark).items()}
+    plain = {ord(c): p for c, (_, p) in table(spark).items()}
 
     @F.pandas_udf("plain string, initials string")
     def read(texts: pd.Series) -> pd.DataFrame:
-        found = [[plain[c] for c in t if c in plain] if t else [] for t in texts]
-        return pd.DataFrame({"plain": ["".join(x) for x in found], "initials": ["".join(p[0] for p in x) for x in found]})
+        whole, first = _Letters(plain), _Letters({c: p[0] for c, p in plain.items()})
+        texts = texts.fillna("")
+        return pd.DataFrame({"plain": [t.translate(whole) for t in texts], "initials": [t.translate(first) for t in texts]})
 
     return read(F.when(contains_chinese(text), text).otherwise(F.lit("")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokenize
@@ -11,45 +11,40 @@ from ..options import HighlighterConfig
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def merge_spans(spans: Column) -> Column:
-    """Spans sorted by start; those that overlap become one, those that only touch stay apart."""
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["end"]
-        grown = F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"))
-        closed = F.when(acc["start"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["done"])
-        return F.when(inside, grown).otherwise(F.struct(closed.alias("done"), s["start"].alias("start"), s["end"].alias("end")))
-
-    begin = F.struct(F.array().cast(SPANS).alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
-    last = lambda a: F.when(a["start"] >= 0, F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))))).otherwise(a["done"])
-    return F.aggregate(F.array_sort(spans), begin, step, last)
+def merge_rows(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, end): spans of one row each; those that overlap become one, those that only touch stay apart."""
+    by = Window.partitionBy(key).orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("start") < reach, 0).otherwise(1)
+    runs = spans.withColumn("new", new).withColumn("run", F.sum("new").over(by))
+    return runs.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def wrap(text: Column, merged: Column, config: HighlighterConfig = HighlighterConfig()) -> Column:
-    """The text with its spans in tags; null if there are none. Slices are of UTF-8 bytes."""
+    """The text with its spans, in order and apart, in tags; null if there are none. Slices are of UTF-8 bytes."""
 
     def tagged(data: Column) -> Column:
         cut = lambda a, b: F.decode(F.substring(data, a + 1, b - a), "UTF-8")
 
-        def step(acc: Column, s: Column) -> Column:
-            parts = [cut(acc["at"], s["start"]), F.lit(config.open_tag), cut(s["start"], s["end"]), F.lit(config.close_tag)]
-            return F.struct(F.concat(acc["out"], F.array(*parts)).alias("out"), s["end"].alias("at"))
+        def part(s: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.get(merged, k - 1)["end"]).otherwise(F.lit(0))
+            return F.concat(cut(before, s["start"]), F.lit(config.open_tag), cut(s["start"], s["end"]), F.lit(config.close_tag))
 
-        begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-        return F.aggregate(merged, begin, step, lambda a: F.concat(F.array_join(a["out"], ""), cut(a["at"], F.octet_length(data))))
+        return F.concat(F.array_join(F.transform(merged, part), ""), cut(F.element_at(merged, -1)["end"], F.octet_length(data)))
 
     return F.when(F.size(merged) > 0, tokenize.let(F.encode(text, "UTF-8"), tagged))
 
 
 def spans_of(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, spans) of the terms in each document that has any, in order, each span once."""
-    found = tokenize.tokens(docs).where(F.col("term").isin(terms))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    """(doc_id, spans, merged) of the terms in each document that has any, in order: each span once, and merged."""
+    found = tokenize.tokens(docs).where(F.col("term").isin(terms)).select("doc_id", "start", "end").distinct()
+    listed = F.array_sort(F.collect_list(F.struct("start", "end")))
+    return found.groupBy("doc_id").agg(listed.alias("spans")).join(merge_rows(found).groupBy("doc_id").agg(listed.alias("merged")), "doc_id")
 
 
 def highlight(docs: DataFrame, terms: list[str], config: HighlighterConfig = HighlighterConfig()) -> DataFrame:
     """(doc_id, highlighted, start, end, original) of each document that has one of the terms."""
-    merged = docs.join(spans_of(docs, terms), "doc_id").withColumn("merged", merge_spans(F.col("spans")))
+    merged = docs.join(spans_of(docs, terms), "doc_id")
     return merged.select(
         "doc_id",
         wrap(F.col("text"), F.col("merged"), config).alias("highlighted"),

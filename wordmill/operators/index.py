@@ -59,14 +59,21 @@ class Index:
         by = self.occurrences.groupBy("term", "doc_id", "dl")
         return by.agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
-    def hits(self, relevant: Column) -> DataFrame:
-        """(doc_id, dl, entries): each document's relevant terms with their positions, by term: one shuffle."""
-        if self._postings is None:
-            rows = self.occurrences.where(relevant).repartition("doc_id").groupBy("doc_id", "dl", "term")
-            per_term = rows.agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    def hits(self, relevant: Column, also: DataFrame | None = None) -> DataFrame:
+        """(doc_id, dl, entries, read): each document's relevant terms with their positions, by term: one shuffle.
+
+        ``also(term, read)`` are more relevant terms with marks, which the document's ``read`` collects."""
+        rows = self.occurrences if self._postings is None else self._postings
+        none = F.array().cast("array<string>")
+        if also is not None:
+            rows = rows.join(also, "term", "left").where(relevant | F.col("read").isNotNull())
         else:
-            per_term = self._postings.where(relevant).repartition("doc_id")
-        return per_term.groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("entries"))
+            rows = rows.where(relevant).withColumn("read", F.lit(None).cast("array<string>"))
+        rows = rows.repartition("doc_id")
+        if self._postings is None:
+            rows = rows.groupBy("doc_id", "dl", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("read").alias("read"))
+        found = rows.groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("entries"), F.collect_list("read").alias("read"))
+        return found.withColumn("read", F.coalesce(F.array_distinct(F.flatten("read")), none))
 
     @property
     def lengths(self) -> DataFrame:
@@ -82,7 +89,14 @@ class Index:
 
     @property
     def term_stats(self) -> DataFrame:
-        return self.doc_tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+        """(term, df, total_tf). A document's terms are counted where its text is: each token, and each distinct one once
+        more, goes into one aggregation by term, which combines before it shuffles."""
+        if self._postings is not None:
+            return self._postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("total_tf"))
+        t = self.docs.select(tokenize.terms(F.col("text")).alias("terms"))
+        both = t.select(F.size("terms").alias("n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+        again = F.col("at") >= F.col("n")
+        return both.groupBy("term").agg(F.sum(again.cast("long")).alias("df"), F.sum((~again).cast("long")).alias("total_tf"))
 
     @property
     def corpus(self) -> DataFrame:
