@@ -162,6 +162,44 @@ def test_license_search_against_every_window(spark):
     assert {(r.doc_id, r.license) for r in licenses.license_texts(docs).collect()} == want
 
 
+def test_long_templates_against_every_start(spark):
+    """Edited copies of long templates: alignments from every word of the text on, without the count that rules starts
+    out."""
+    rng = random.Random(4)
+    names = ["BSD-3-Clause", "BSD-2-Clause", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "zlib"]
+    filler = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+
+    def edited(name, share):
+        return " ".join(f"x{rng.randrange(99)}" if rng.random() < share else w for w in licenses.TEMPLATES[name].split())
+
+    rows = [(k, f"{filler(20)} {edited(a, 0.06)} {filler(15)} {edited(b, share)} {filler(9)}") for k, (a, b, share) in enumerate([("BSD-3-Clause", "MPL-2.0", 0.04), ("LGPL-3.0", "zlib", 0.1), ("BSD-2-Clause", "GPL-3.0", 0.3)])]
+    known = {n: h.tolist() for n, h in licenses.template_words({n: licenses.TEMPLATES[n] for n in names}).items()}
+    want = set()
+    for i, text in rows:
+        h = next(word_blocks(pa.array([text])))[2].tolist()
+        places = []
+        for name, t in known.items():
+            k, m = 0, len(t)
+            while k < len(h):
+                pairs = {p: licenses.align(t, h[p : p + int(licenses.STRETCH * m)]) for p in range(k, min(k + m + 1, len(h))) if h[p] in t}
+                good = [p for p in sorted(pairs) if len(pairs[p]) >= licenses.least_cover(m)]
+                if not good:
+                    k += m + 1
+                    continue
+                more = {p: licenses.align(t, h[p : p + int(licenses.STRETCH * m)]) for p in range(good[0], min(good[0] + m, len(h))) if h[p] in t}
+                best = max((p for p in sorted(more)), key=lambda p: (len(more[p]), -p))
+                x = more[best]
+                places.append((-len(x), -len(x) / m, name, best + x[0][1], best + x[-1][1] + 1))
+                k = best + x[-1][1] + 1
+        taken = []
+        for n, _, name, s, e in sorted(places):
+            if all(e <= x or s >= y for x, y in taken):
+                taken.append((s, e))
+                want.add((i, name, s, e, -n))
+    got = licenses.license_texts(spark.createDataFrame(rows, "doc_id long, text string"), {n: licenses.TEMPLATES[n] for n in names})
+    assert {(r.doc_id, r.license, r.start, r.end, r.matched) for r in got.collect()} == want and len(want) >= 5
+
+
 # Private data
 
 

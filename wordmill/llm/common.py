@@ -3,42 +3,26 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import scratch, ship
 
 _written: list[tuple[SparkSession, str]] = []
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a local master;
-    on a cluster the executors would not share it, and that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = _own.get(spark.sparkContext.applicationId)
-        if not path:
-            path = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="wordmill-")
-    return path.rstrip("/")
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage at a table that outlives executors.
 
     The shuffle files of the write are deleted when it has ended, for no later plan reads them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordmill-{uuid.uuid4().hex[:12]}-{name}"
+    path = scratch(spark, name)
     before = spark.conf.get(_TIDY, None)
     spark.conf.set(_TIDY, "true")
     try:
