@@ -32,4 +32,25 @@ SELECT doc_id, CAST(min(i) AS INTEGER) AS start, CAST(max(i) + 50 AS INTEGER) AS
 FROM s GROUP BY doc_id, keep, run
 """
 
-SQL: dict[str, str] = {"op7_repeated_passages": _PASSAGES, "op10_repeated_suffixes": _PASSAGES}
+_MASKED = " UNION ALL ".join(
+    f"SELECT id, i, {m} || ':' || concat_ws(' ', {', '.join(f'w{k}' for k in mask)}) AS seed FROM {{0}} WHERE w{mask[-1]} IS NOT NULL" for m, mask in enumerate(decontaminate.MASKS)
+)
+_AHEAD = ", ".join(f"lead(word, {k}) OVER ahead AS w{k}" for k in range(10))
+
+#: The words under each mask as texts; then the stretch of largest sum of every alignment, for items of 14 words and more.
+_LEAKS = f"""
+WITH d AS (SELECT id, unnest(w) AS word, unnest(generate_series(1, len(w))) - 1 AS i FROM (SELECT DISTINCT doc_id AS id, {_WORDS} AS w FROM documents)),
+b AS (SELECT id, unnest(w) AS word, unnest(generate_series(1, len(w))) - 1 AS i FROM (SELECT DISTINCT item_id AS id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 13),
+dw AS (SELECT id, i, {_AHEAD} FROM d WINDOW ahead AS (PARTITION BY id ORDER BY i)), bw AS (SELECT id, i, {_AHEAD} FROM b WINDOW ahead AS (PARTITION BY id ORDER BY i)),
+places AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.i - y.i AS diag FROM ({_MASKED.format('dw')}) x JOIN ({_MASKED.format('bw')}) y USING (seed)),
+same AS (SELECT doc_id, item_id, diag, b.i AS j, CAST(b.word = d.word AS INTEGER) AS hit FROM places JOIN b ON b.id = item_id JOIN d ON d.id = doc_id AND d.i = diag + b.i),
+sums AS (SELECT doc_id, item_id, diag, j, hit, sum(hit * 4 - 3) OVER (PARTITION BY doc_id, item_id, diag ORDER BY j) AS c FROM same
+         UNION ALL SELECT doc_id, item_id, diag, min(j) - 1, 0, 0 FROM same GROUP BY ALL),
+low AS (SELECT *, min(c) OVER (PARTITION BY doc_id, item_id, diag ORDER BY j) AS least FROM sums),
+ends AS (SELECT doc_id, item_id, diag, arg_max(j, (c - least) * 100000 - j) AS stop, arg_max(least, (c - least) * 100000 - j) AS base FROM low GROUP BY ALL),
+starts AS (SELECT doc_id, item_id, diag, stop, max(j) AS start FROM low JOIN ends USING (doc_id, item_id, diag) WHERE j <= stop AND c = base GROUP BY ALL)
+SELECT DISTINCT doc_id, item_id, CAST(diag + start + 1 AS INTEGER) AS doc_word, CAST(start + 1 AS INTEGER) AS item_word, CAST(stop - start AS INTEGER) AS words, CAST(matched AS INTEGER) AS matched
+FROM (SELECT doc_id, item_id, diag, stop, start, sum(hit) AS matched FROM low JOIN starts USING (doc_id, item_id, diag) WHERE j > start AND j <= stop GROUP BY ALL) WHERE matched >= 13
+"""
+
+SQL: dict[str, str] = {"op7_repeated_passages": _PASSAGES, "op10_repeated_suffixes": _PASSAGES, "op8_benchmark_leaks": _LEAKS}
