@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import without
-from .common import ids_and_text, stash
+from .common import drop, ids_and_text, stash
 from .components import connected
 from .tokens import mix, signed, word_blocks
 
 #: Words of a shingle, MinHash samples, rows of a band, bits of a sketch, Jaccard similarity from which texts are one.
 SHINGLE, SAMPLES, ROWS, BITS, SIMILAR = 3, 128, 4, 512, 0.6
 
+#: 64-bit words of a sketch.
+WORDS = BITS // 64
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -62,7 +65,7 @@ def similarity(ones: np.ndarray) -> np.ndarray:
 #: The largest population count that still means SIMILAR.
 MOST_ONES = int(np.flatnonzero(similarity(np.arange(BITS // 2)) >= SIMILAR)[-1])
 
-_SIGNED = "doc_id long, sig long, sketch binary, bands array<long>"
+_SIGNED = "doc_id long, sig long, sketch array<long>, bands array<long>"
 
 
 def _sign(batches):
@@ -82,7 +85,7 @@ def _sign(batches):
                 [
                     pa.array(ids[lo:hi][sc[1] > 0]),
                     pa.array(signed(sig)),
-                    pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(0, sk.size + 1, sk.shape[1], dtype=np.int32)), pa.py_buffer(sk.tobytes())]),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(m) * WORDS + 1, WORDS, dtype=np.int32)), pa.array(sk.view(np.int64).ravel())),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, key.shape[1], dtype=np.int32)), pa.array(signed(key.ravel()))),
                 ],
                 names=["doc_id", "sig", "sketch", "bands"],
@@ -110,10 +113,9 @@ def _link(batches):
         off = lists.offsets.to_numpy()
         flat = lists.values
         ids = flat.field(0).to_numpy(zero_copy_only=False)
-        sk = flat.field(1)
         if not len(ids):
             continue
-        words = np.frombuffer(sk.buffers()[2], dtype=np.uint64, count=(len(sk) + sk.offset) * BITS // 64).reshape(-1, BITS // 64)[sk.offset :]
+        words = flat.field(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
         n = np.diff(off)
         two = off[:-1][n == 2]
         near = np.bitwise_count(words[two] ^ words[two + 1]).sum(axis=1) <= MOST_ONES
@@ -128,6 +130,11 @@ def _link(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
+def _ones(a: Column, b: Column) -> Column:
+    """Population count of the XOR of two sketches."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Groups of near duplicates among ``docs(doc_id, text)``: one row (doc_id, group_id, group_size, keep) for each
     member of a group of two or more; group_id is the smallest doc_id of the group, the one that stays.
@@ -146,9 +153,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     many = reps.where("last > r.doc_id").select("sig", "sketch", F.col("r.doc_id").alias("v"))
     copies = signed_.select("sig", "sketch", F.col("doc_id").alias("u")).join(many, ["sig", "sketch"]).where("u != v").select("u", "v")
     banded = reps.select("r.doc_id", "sketch", F.explode("r.bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).where(F.size("members") > 1)
-    links = buckets.select("members").mapInArrow(_link, "u long, v long")
-    found = connected(links.union(copies))
+    # every member of a bucket against its first one; a bucket may be of any size, its rows are never one row
+    whole = Window.partitionBy("key")
+    held = banded.withColumns({"n": F.count("*").over(whole), "first": F.min(F.struct("doc_id", "sketch")).over(whole)}).where("n > 1")
+    near = _ones(F.col("sketch"), F.col("first.sketch")) <= MOST_ONES
+    held = stash(held.select("key", "doc_id", "sketch", F.col("first.doc_id").alias("v"), near.alias("near")), "buckets")
+    links = held.where("near AND doc_id != v").select(F.col("doc_id").alias("u"), "v")
+    # those unlike the first: against all that are like it, and among themselves
+    rest = held.where("NOT near")
+    like = held.where("near").select("key", F.col("sketch").alias("other"))
+    reached = rest.join(like, (rest["key"] == like["key"]) & (_ones(rest["sketch"], like["other"]) <= MOST_ONES), "left_semi").select(F.col("doc_id").alias("u"), "v")
+    alone = rest.groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).where(F.size("members") > 1)
+    found = connected(links.union(reached).union(alone.select("members").mapInArrow(_link, "u long, v long")).union(copies))
+    drop(signed_)
+    drop(held)
     sizes = found.groupBy("root").agg((F.count("*") + 1).alias("group_size"))
     members = found.union(sizes.select(F.col("root").alias("id"), "root"))
     return members.join(sizes, "root").select(
