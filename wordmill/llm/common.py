@@ -7,14 +7,14 @@ import atexit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import scratch, ship
+from ..cluster import scratch, ship, spread
 
 _written: list[tuple[SparkSession, str]] = []
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
