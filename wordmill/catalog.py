@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import scratch
+from .cluster import scratch, spread
 from .engine import Engine
 from .functions import similarity, tokenize
 from .operators import highlight, rank
@@ -32,7 +32,7 @@ def _query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def _index(spark: SparkSession, d: str) -> Index:

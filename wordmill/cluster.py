@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
@@ -46,3 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/wordmill-{uuid.uuid4().hex[:12]}-{name}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is read, in one partition a slot if it comes in fewer: a file of one row group is one task's work,
+    however many slots wait. A table of a cluster's size comes in more partitions and is left as it is."""
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan

@@ -218,8 +218,9 @@ class Engine:
         hits = self.index.hits(reduce(lambda a, b: a | b, [p.relevant for p in plans]), self._sounding(plans))
         counts = hits.select(F.explode("entries.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         frequencies = counts.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df_of"))
-        # two one-row tables
-        out = hits.crossJoin(F.broadcast(frequencies)).crossJoin(F.broadcast(self.index.corpus))
+        n, average = self.index.figures()
+        # a one-row table
+        out = hits.crossJoin(F.broadcast(frequencies)).withColumns({"doc_count": F.lit(n), "avg_doc_length": F.lit(average)})
         if any(p.pinyin for p in plans):
             said = self.index.docs.select("doc_id", pinyin.readings(self.spark, F.col("text")).alias("reading"))
             out = out.join(said, "doc_id")
@@ -358,7 +359,7 @@ class Engine:
         few = Index(self.index.docs.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi"))
         here = few.doc_tf.where(kept).join(F.broadcast(hits), "doc_id").select("doc_id", "term", "tf", "score", "place")
         stats = self.index.stats_of(here.select("term").distinct())
-        rows = here.join(stats, "term").crossJoin(F.broadcast(self.index.corpus.select("doc_count")))
+        rows = here.join(stats, "term").withColumn("doc_count", F.lit(self.index.figures()[0]))
         gain = F.col("score") * F.log1p(F.col("tf")) * (F.log((F.col("doc_count") + 1.0) / (F.greatest("df", F.lit(1)) + 1.0)) + 1.0)
         parts = F.sort_array(F.collect_list(F.struct("place", "doc_id", gain.alias("gain"))))
         found = rows.groupBy("term", "df", "total_tf").agg(parts.alias("parts"))

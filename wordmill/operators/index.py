@@ -29,6 +29,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None, generation: int = 0):
         self.docs, self._postings, self._lengths, self.generation = docs, postings, lengths, generation
+        self._figures: tuple[int, float] | None = None
 
     @classmethod
     def build(cls, df: DataFrame, text: str | Column | None = None, key: str = "doc_id") -> Index:
@@ -106,6 +107,13 @@ class Index:
         avg = F.when(n > 0, total / n).otherwise(F.lit(0.0))
         return self.lengths.agg(n.alias("doc_count"), total.alias("total_tokens"), avg.alias("avg_doc_length"))
 
+    def figures(self) -> tuple[int, float]:
+        """(doc_count, avg_doc_length) of this snapshot, counted once: a snapshot never changes."""
+        if self._figures is None:
+            row = self.corpus.first()
+            self._figures = (row.doc_count, row.avg_doc_length)
+        return self._figures
+
     @property
     def tokens(self) -> DataFrame:
         return tokenize.tokens(self.docs)
@@ -167,7 +175,7 @@ class Index:
         return row.dl if row else 0
 
     def avg_doc_length(self) -> float:
-        return self.corpus.first().avg_doc_length
+        return self.figures()[1]
 
     def term_count(self) -> int:
         return self.vocabulary.count()

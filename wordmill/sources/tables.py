@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import spread
 from ..operators.index import Index
 
 FORMATS = ("parquet", "json", "csv", "text", "orc")
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """A folder or file as a DataFrame; ``text`` files give one document a line, or one a file with wholetext."""
-    df = spark.read.format(fmt).options(**options).load(path)
+    """A folder or file as a DataFrame, spread over the session's slots; ``text`` files give one document a line, or one a
+    file with wholetext."""
+    df = spread(spark.read.format(fmt).options(**options).load(path))
     return df.withColumnRenamed("value", "text") if fmt == "text" else df
 
 
