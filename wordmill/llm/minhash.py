@@ -142,12 +142,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two texts are near when the Jaccard similarity of their sets of word 3-grams, estimated from odd sketches of 128
     MinHash samples, is 0.6 or more; a group is a connected component. Candidates share one of 32 bands of 4
     samples, which finds a pair at 0.6 with probability 0.988; the estimate then accepts about half the pairs at 0.6 and
-    nearly all from 0.7 on. Documents with equal samples and sketches are joined first, by one aggregation; buckets have
-    no size limit.
+    nearly all from 0.7 on. Documents with equal samples and sketches are joined first, by one aggregation. In a bucket,
+    whatever its size, members are compared with the first one; those unlike it with all that are like it, and with
+    one another. Only these last are gathered in a row.
 
     Null doc_id or text and texts without a word take no part. Rows that repeat a doc_id are one document: they
-    share its group and its fate. Ties don't arise, the smallest doc_id stays. Other columns are never read. An
-    empty table gives an empty result."""
+    share its group and its fate. Ties don't arise, the smallest doc_id stays. Texts of any length are hashed whole.
+    Other columns are never read. An empty table gives an empty result."""
     signed_ = stash(ids_and_text(docs).mapInArrow(_sign, _SIGNED), "signatures")
     reps = signed_.groupBy("sig", "sketch").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.max("doc_id").alias("last"))
     many = reps.where("last > r.doc_id").select("sig", "sketch", F.col("r.doc_id").alias("v"))
@@ -175,5 +176,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the members that don't stay; all columns and all other rows are left as they are."""
+    """``docs`` without the members that don't stay; all columns and all other rows, those without a doc_id, a text or a
+    word among them, are left as they are. Rows that repeat a doc_id go or stay together; an empty table gives an empty
+    result."""
     return without(docs, near_duplicates(docs).where("not keep").select("doc_id"))

@@ -183,7 +183,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     Features are distinct words of the text, by hash, that ``_features`` selects; the score adds
     their weights and, for every pair, the product of their factor vectors. A row with a null doc_id or text isn't
     scored; a text without a known term, such as an empty one, scores UNKNOWN, whatever the number of labels of
-    either class. Repeated rows are scored each. Extra columns are never read. With empty ``labels`` nothing is toxic,
+    either class. Repeated rows are scored each, texts of any length whole. Extra columns are never read. With empty ``labels`` nothing is toxic,
     with labels of one class only every text is of that class."""
     model = train(docs, labels)
 
