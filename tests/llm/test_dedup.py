@@ -118,6 +118,22 @@ def test_bucket_links_leave_no_member_out():
     assert {v for _, v in edges} == set(range(1, 500))
 
 
+def test_buckets_whose_first_member_is_unlike_the_others(spark):
+    """Texts that share bands with a smaller id without being near it, ids with several texts, and a null id."""
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(1, " ".join([*base[:48], *(rng.choice(words) for _ in range(90))]))]
+    for k in range(2, 40):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(120)] = rng.choice(words)
+        rows.append((k, " ".join(w)))
+    rows += [(50, rows[5][1]), (50, "another text altogether " * 3), (51, "another text altogether " * 3), (None, rows[3][1]), (60, " ".join(rng.choice(words) for _ in range(100)))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, PASSAGES)).collect()
+    assert {r.doc_id: r.group_id for r in got} == {k: 2 for k in [*range(2, 40), 50, 51]}
+
+
 def brute_passages(rows, size):
     """Maximal intervals of repeated windows by comparing word tuples."""
     docs = {(i, t) for i, t in rows if i is not None and t is not None}

@@ -153,12 +153,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = signed_.groupBy("sig", "sketch").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.max("doc_id").alias("last"))
     many = reps.where("last > r.doc_id").select("sig", "sketch", F.col("r.doc_id").alias("v"))
     copies = signed_.select("sig", "sketch", F.col("doc_id").alias("u")).join(many, ["sig", "sketch"]).where("u != v").select("u", "v")
-    banded = reps.select("r.doc_id", "sketch", F.explode("r.bands").alias("key"))
-    # every member of a bucket against its first one; a bucket may be of any size, its rows are never one row
+    reps = stash(reps.select("r.doc_id", "sig", "sketch", "r.bands"), "representatives")
+    # every member of a bucket against its first one: a bucket may be of any size, its rows are never one row, and only
+    # members of buckets of two or more get their sketches, by doc_id and samples, for a doc_id may have several texts
     whole = Window.partitionBy("key")
-    held = banded.withColumns({"n": F.count("*").over(whole), "first": F.min(F.struct("doc_id", "sketch")).over(whole)}).where("n > 1")
-    near = _ones(F.col("sketch"), F.col("first.sketch")) <= MOST_ONES
-    held = stash(held.select("key", "doc_id", "sketch", F.col("first.doc_id").alias("v"), near.alias("near")), "buckets")
+    banded = reps.select("doc_id", "sig", F.explode("bands").alias("key"))
+    held = banded.withColumns({"n": F.count("*").over(whole), "v": F.min(F.struct("doc_id", "sig")).over(whole)}).where("n > 1")
+    held = held.select("key", "doc_id", "sig", F.col("v.doc_id").alias("v"), F.col("v.sig").alias("v_sig"))
+    firsts = reps.select(F.col("doc_id").alias("v"), F.col("sig").alias("v_sig"), F.col("sketch").alias("first"))
+    held = held.join(reps.select("doc_id", "sig", "sketch"), ["doc_id", "sig"]).join(firsts, ["v", "v_sig"])
+    near = _ones(F.col("sketch"), F.col("first")) <= MOST_ONES
+    held = stash(held.select("key", "doc_id", "sketch", "v", near.alias("near")), "buckets")
     links = held.where("near AND doc_id != v").select(F.col("doc_id").alias("u"), "v")
     # those unlike the first: against all that are like it, and among themselves
     rest = held.where("NOT near")
@@ -166,8 +171,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reached = rest.join(like, (rest["key"] == like["key"]) & (_ones(rest["sketch"], like["other"]) <= MOST_ONES), "left_semi").select(F.col("doc_id").alias("u"), "v")
     alone = rest.groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members")).where(F.size("members") > 1)
     found = connected(links.union(reached).union(alone.select("members").mapInArrow(_link, "u long, v long")).union(copies))
-    drop(signed_)
-    drop(held)
+    for used in (signed_, reps, held):
+        drop(used)
     sizes = found.groupBy("root").agg((F.count("*") + 1).alias("group_size"))
     members = found.union(sizes.select(F.col("root").alias("id"), "root"))
     return members.join(sizes, "root").select(
