@@ -53,4 +53,11 @@ SELECT DISTINCT doc_id, item_id, CAST(diag + start + 1 AS INTEGER) AS doc_word,
 FROM (SELECT doc_id, item_id, diag, stop, start, sum(hit) AS matched FROM low JOIN starts USING (doc_id, item_id, diag) WHERE j > start AND j <= stop GROUP BY ALL) WHERE matched >= 13
 """
 
-SQL: dict[str, str] = {"op7_repeated_passages": _PASSAGES, "op10_repeated_suffixes": _PASSAGES, "op8_benchmark_leaks": _LEAKS}
+#: For tables of one range between splitters, that is up to 64 MB of text: SQL has not the hash that draws splitters.
+_SHARDS = f"""
+SELECT doc_id, text, lang, source, n_chars, CAST(least(floor(coalesce(sum(size) OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * cuts / total), cuts - 1) AS INTEGER) AS shard_id
+FROM (SELECT *, coalesce(strlen(text), 0) AS size, sum(strlen(text)) OVER () AS total, ceil(sum(strlen(text)) OVER () / {sharding.SHARD_BYTES}.0) AS cuts FROM documents)
+"""
+
+SQL: dict[str, str] = {"op4_shards": _SHARDS, "op7_repeated_passages": _PASSAGES, "op10_repeated_suffixes": _PASSAGES, "op8_benchmark_leaks": _LEAKS}
