@@ -19,7 +19,7 @@ LABELLED_ROWS = 4096
 MIN_ROWS, MIN_Z, COMMON = 3, 4.5, 0.1
 #: So is a term in a share of PAIR_SHARE of the rows or more, when with another such term, in PAIR_ROWS rows or more, its
 #: covariance differs between the classes by PAIR_Z standard errors: 6 leaves about no chance pair among 10 million.
-PAIR_SHARE, PAIR_ROWS, PAIR_Z, PAIR_BLOCK = 0.01, 10, 6.0, 1024
+PAIR_SHARE, PAIR_ROWS, PAIR_Z, PAIR_BLOCK = 0.01, 10, 6.0, 384
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 10, 64, 0.1, 3e-3
 THRESHOLD = 0.5
 #: Score of a text without a known term: below any threshold, whatever the shares of the labels.
