@@ -328,7 +328,7 @@ class Engine:
     def suggest(self, prefix: str, limit: int = 10) -> DataFrame:
         """Terms with a prefix, those of most documents first."""
         p = prefix.lower()
-        stats = self.index.postings.where(F.col("term").startswith(p)).groupBy("term").agg(F.count("*").alias("df"))
+        stats = self.index.document_frequencies(F.col("term").startswith(p))
         return stats.orderBy(F.desc("df"), "term").limit(limit).select("term")
 
     @property

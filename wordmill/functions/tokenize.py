@@ -72,6 +72,12 @@ def terms(text: Column) -> Column:
     return F.when(contains_chinese(text), mixed).otherwise(pieces)
 
 
+def with_terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, terms). The array of one is no detour: a generator keeps plans above it from cutting the text once for
+    every use of ``terms``."""
+    return docs.select("doc_id", F.explode(F.array(terms(F.col("text")))).alias("terms"))
+
+
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, term, kind, start, end): one row a token, with byte offsets into the UTF-8 text.
 

@@ -49,8 +49,7 @@ class Index:
     @property
     def occurrences(self) -> DataFrame:
         """(doc_id, dl, pos, term): one row a token. Narrow: the length comes with each row, so no join is needed."""
-        t = self.docs.select("doc_id", tokenize.terms(F.col("text")).alias("terms"))
-        return t.select("doc_id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+        return tokenize.with_terms(self.docs).select("doc_id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
 
     @property
     def postings(self) -> DataFrame:
@@ -94,8 +93,7 @@ class Index:
         more, goes into one aggregation by term, which combines before it shuffles."""
         if self._postings is not None:
             return self._postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("total_tf"))
-        t = self.docs.select(tokenize.terms(F.col("text")).alias("terms"))
-        both = t.select(F.size("terms").alias("n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+        both = tokenize.with_terms(self.docs).select(F.size("terms").alias("n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
         again = F.col("at") >= F.col("n")
         return both.groupBy("term").agg(F.sum(again.cast("long")).alias("df"), F.sum((~again).cast("long")).alias("total_tf"))
 
@@ -188,11 +186,18 @@ class Index:
 
     @property
     def _names(self) -> DataFrame:
-        return (self.occurrences if self._postings is None else self._postings).select("term")
+        """(doc_id, term): the terms of each document, once."""
+        if self._postings is not None:
+            return self._postings.select("doc_id", "term")
+        return tokenize.with_terms(self.docs).select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
+
+    def document_frequencies(self, wanted: Column) -> DataFrame:
+        """(term, df) of the terms that ``wanted`` selects."""
+        return self._names.where(wanted).groupBy("term").agg(F.count("*").alias("df"))
 
     @property
     def vocabulary(self) -> DataFrame:
-        return self._names.distinct()
+        return self._names.select("term").distinct()
 
     def stats_of(self, terms: DataFrame) -> DataFrame:
         """``term_stats`` of some terms: the others' tokens are dropped before any shuffle of theirs by document."""
@@ -203,7 +208,7 @@ class Index:
         return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
     def terms_with_prefix(self, prefix: str, limit: int | None = None) -> DataFrame:
-        found = self._names.where(F.col("term").startswith(prefix)).distinct()
+        found = self._names.where(F.col("term").startswith(prefix)).select("term").distinct()
         return found if limit is None else found.orderBy("term").limit(limit)
 
     def persist(self) -> Index:
