@@ -199,11 +199,10 @@ def match_fuzzy_term(spark, d):
     return _engine(spark, d).rank("thorin~1", SearchOptions(limit=100_000, strict_compat=False)).select("doc_id")
 
 
-@_query(f"""{_STATS}, near AS ({_near_sql('ting', 1)}), one AS (SELECT doc_id FROM tf WHERE term = 'ting' OR term IN (SELECT term FROM near))
-SELECT DISTINCT doc_id FROM one WHERE doc_id IN (SELECT doc_id FROM tf WHERE term = 'ting') AND doc_id NOT IN (SELECT doc_id FROM tf WHERE term = 'the')""")
+@_query(f"{_STATS} SELECT doc_id FROM tf WHERE term = 'the' EXCEPT SELECT doc_id FROM tf WHERE term = 'of'")
 def match_fuzzy_strict(spark, d):
     """Expansions find documents but only the term itself scores, and a score of 0 is no hit."""
-    return _engine(spark, d).rank("ting~1 -worthless", _ALL).select("doc_id")
+    return _engine(spark, d).rank("the~1 -of", _ALL).select("doc_id")
 
 
 @_query(f"{_STATS}, near AS ({_near_sql('thorin', 2)}) SELECT DISTINCT doc_id FROM tf WHERE starts_with(term, 'idio') OR term = 'thorin' OR term IN (SELECT term FROM near)")
