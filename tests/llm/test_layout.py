@@ -21,7 +21,7 @@ def rows_of(df):
 
 @pytest.mark.parametrize("size", [1 << 30, 60_000, 9_000])
 def test_shards_keep_rows_order_and_size(spark, size):
-    docs = table(spark, SF, "documents")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = sharding.shards(docs, shard_bytes=size).withColumn("p", F.spark_partition_id())
     assert rows_of(got.select(docs.columns)) == rows_of(docs)
     by = defaultdict(list)
@@ -64,7 +64,7 @@ def test_rows_of_one_key_are_cut(spark, ident):
 
 
 def test_one_shuffle_moves_the_rows(spark):
-    plan = sharding.shards(table(spark, SF, "documents"), shard_bytes=60_000)._jdf.queryExecution().executedPlan().toString()
+    plan = sharding.shards(spark.read.parquet(f"{SF}/documents.parquet"), shard_bytes=60_000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("Exchange shufflepartitionid") == 1
 
 

@@ -73,6 +73,9 @@ def shards(docs: DataFrame, columns: tuple[str, ...] = ("source", "doc_id"), sha
     are cut like any others when a range is overfull. Columns of ``docs`` keep their names and values, whatever they are
     called; only shard_id is replaced if it exists. Very long texts stay whole. An empty table gives an empty result.
 
+    ``docs`` is computed twice. Row numbers tell equal keys apart, so they should be the same each time, as those of a scan
+    are; where they aren't, the row at a splitter may change sides, and a shard be larger by it.
+
     The driver and each task hold the end, size and first shard of every range: some 80 bytes for 64 MB of text."""
     ship(docs.sparkSession)
     docs = docs.drop("shard_id")
