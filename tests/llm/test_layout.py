@@ -101,6 +101,24 @@ def test_islands_beat_best_fit_decreasing():
     assert wins
 
 
+def test_the_search_as_it_is_set_closes_half_of_the_gap():
+    """Islands, individuals, generations and epochs of the query on triples, each of which fills a bin."""
+    rng, greedy, found, least = random.Random(3), 0, 0, 0
+    for _ in range(4):
+        sizes = []
+        for _ in range(40):
+            a = rng.randrange(512, 819)
+            b = rng.randrange(512, 2048 - a - 511)
+            sizes += [a, b, 2048 - a - b]
+        people = [packing.evolve(sizes, [], [], packing.CAPACITY, seed) for seed in range(packing.ISLANDS)]
+        for epoch in range(1, packing.EPOCHS):
+            people = [packing.evolve(sizes, p, [people[i - 1][0]], packing.CAPACITY, epoch * 7 + i) for i, p in enumerate(people)]
+        greedy += best_fit_decreasing(sizes, packing.CAPACITY)
+        found += min(max(p[0]) + 1 for p in people)
+        least += 40
+    assert greedy - found >= 0.5 * (greedy - least)
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 100) for _ in range(120)]

@@ -19,7 +19,7 @@ from .tokens import word_blocks
 #: filled from this share on.
 CAPACITY = 2048
 CELL_BINS, CELL_ITEMS = 300, 2048
-ISLANDS, POPULATION, GENERATIONS, EPOCHS, WELL_FILLED = 3, 4, 8, 2, 0.99
+ISLANDS, POPULATION, GENERATIONS, EPOCHS, WELL_FILLED = 3, 16, 160, 2, 0.99
 
 
 def best_fit(bins: list[list[int]], free: list[int], items: list[int], sizes: list[int], capacity: int) -> None:
@@ -65,7 +65,8 @@ def crossover(donor, other, sizes: list[int], capacity: int, rng: random.Random)
         else:
             bins.append(list(other[0][k]))
             free.append(other[1][k])
-    loose.sort(key=lambda i: (-sizes[i], i))
+    loose.sort()
+    loose.sort(key=sizes.__getitem__, reverse=True)  # of equal sizes the first one first, still
     best_fit(bins, free, loose, sizes, capacity)
     return bins, free
 
@@ -86,7 +87,7 @@ def _to(one, n: int) -> list[int]:
 
 
 def evolve(sizes: list[int], population: list[list[int]], guests: list[list[int]], capacity: int, seed: int) -> list[list[int]]:
-    """A few generations of one island; individuals are the bin of each item. Without a population it begins with
+    """GENERATIONS of one island, a child in each; individuals are the bin of each item. Without a population it begins with
     best-fit decreasing and with best fit in orders near it. The best individual comes first and never gets worse. All
     generations run: where no bin can be saved, they gather the free room in few bins."""
     rng, n = random.Random(seed), len(sizes)
@@ -99,12 +100,14 @@ def evolve(sizes: list[int], population: list[list[int]], guests: list[list[int]
         one: tuple[list, list] = ([], [])
         best_fit(one[0], one[1], order, sizes, capacity)
         people.append(one)
-    people.sort(key=lambda p: fitness(p[1], capacity), reverse=True)
+    ranked = sorted(((fitness(p[1], capacity), p) for p in people), key=lambda r: r[0], reverse=True)
     for _ in range(GENERATIONS):
-        a, b = (min(rng.sample(range(len(people)), 2)) for _ in range(2))
-        child = crossover(people[a], people[b], sizes, capacity, rng)
-        people = sorted([*people, child], key=lambda p: fitness(p[1], capacity), reverse=True)[:POPULATION]
-    return [_to(p, n) for p in people[:POPULATION]]
+        a, b = (min(rng.sample(range(len(ranked)), 2)) for _ in range(2))
+        child = crossover(ranked[a][1], ranked[b][1], sizes, capacity, rng)
+        ranked.append((fitness(child[1], capacity), child))
+        ranked.sort(key=lambda r: r[0], reverse=True)
+        del ranked[POPULATION:]
+    return [_to(p, n) for _, p in ranked[:POPULATION]]
 
 
 _STATE = "cell long, island int, sizes array<int>, people array<array<int>>, bins int, fill double"
