@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wordmill.llm import decontaminate, licenses, media, pii, toxicity
+from wordmill.llm import activation, decontaminate, licenses, media, pii, toxicity
 from wordmill.llm.common import ids_and_text, table
 from wordmill.llm.tokens import mix, word_blocks
 
@@ -322,6 +322,23 @@ def test_long_texts_decode_as_in_one_go(monkeypatch):
     assert np.array_equal(pii._decode_long(p, ids), pii.decode(p, [ids])[0])
 
 
+def test_tanh_without_avx512(monkeypatch):
+    """Where numpy's tanh is slow another one takes its place, with the same values and the same tags."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(0, 4, 9999), [0.0, -0.0, 1e-30, 88, -1e30, np.inf, -np.inf]]).astype(np.float32)
+    want = np.tanh(x.astype(np.float64))
+    p, ids = pii.initial(rng), [rng.integers(1, 99, n).astype(np.uint8) for n in (5, 700, 2000)]
+    tags = []
+    for fast in (True, False):
+        monkeypatch.setattr(activation, "numpy_is_fast", lambda: fast)
+        y, z = np.empty_like(x), x.copy()
+        activation.tanh_of(x, y)()
+        activation.tanh_of(z, z)()
+        assert np.abs(y - want).max() < 1e-6 and np.array_equal(y, z)
+        tags.append(np.concatenate(pii.decode(p, ids)))
+    assert np.array_equal(*tags) and tags[0].any()
+
+
 def test_masking_keeps_rows_and_columns(spark):
     rows = [(1, "mail an.12@mail3.example.com now", 0), (2, "nothing here", 12), (3, None, None), (None, "call +1 (555) 123-4567 é", 24), (5, "", 0)]
     got = pii.mask_private(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()

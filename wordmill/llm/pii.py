@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from .activation import tanh_of
 from .tokens import ROWS, text_bytes
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
@@ -249,20 +250,21 @@ def tag_scores(p: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     put = np.zeros((2, H + D + 1, n), np.float32)  # what the gates read: states, vectors of characters, ones
     put[:, H + D] = 1
     a, c, said = np.empty((2, 4 * H, n), np.float32), np.zeros((2, H, n), np.float32), np.empty((2, K, n), np.float32)
-    s, g, h = a[:, : 3 * H], a[:, 3 * H :], put[:, :H]
+    s, g, h, o = a[:, : 3 * H], a[:, 3 * H :], put[:, :H], np.empty((2, H, n), np.float32)
+    gates_tanh, state_tanh = tanh_of(a, a), tanh_of(c, o)
     live = np.searchsorted(-lengths, -np.arange(steps)[::-1], side="left")  # rows that have begun from behind
     for t in range(steps):
         put[0, H : H + D] = e[:, t]
         put[1, H : H + D] = e[:, steps - 1 - t]
         np.matmul(gates, put, out=a)
-        np.tanh(a, out=a)
+        gates_tanh()
         s += 1
         c *= s[:, H : 2 * H]
         g *= s[:, :H]
         c += g
         c *= 0.5
-        np.tanh(c, out=h)
-        h *= s[:, 2 * H :]
+        state_tanh()
+        np.multiply(o, s[:, 2 * H :], out=h)
         if live[t] < n:
             c[1, :, live[t] :] = 0
             h[1, :, live[t] :] = 0
