@@ -174,6 +174,24 @@ def test_every_cell_is_searched(monkeypatch):
         assert packing.fitness(first[1], 2048)[0] >= -best_fit_decreasing(sizes, 2048)
 
 
+def test_populations_stay_in_the_workers(spark, monkeypatch):
+    """Two tables are written, and none holds more than one individual of a cell: that of islands with migration, by a loop."""
+    seen, real = [], packing.stash
+    monkeypatch.setattr(packing, "stash", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    monkeypatch.setattr(packing, "CELL_BINS", 20)
+    packing.pack(table(spark, SF, "documents").where("n_chars < 3000"), 500).collect()
+    assert [t.columns for t in seen] == [["doc_id", "words"], ["cell", "items", "bin"]]
+    rows = seen[1].collect()
+    assert len(rows) > 2
+    for r in rows[:2]:
+        sizes = [-x.w for x in r["items"]]
+        people = [packing.evolve(sizes, [], [], 500, hash((r.cell, k, 0))) for k in range(packing.ISLANDS)]
+        for epoch in range(1, packing.EPOCHS):
+            people = [packing.evolve(sizes, p, [people[k - 1][0]], 500, hash((r.cell, k, epoch))) for k, p in enumerate(people)]
+        score = lambda bins: packing.fitness(packing._of(bins, sizes, 500)[1], 500)
+        assert r.bin == max((p[0] for p in people), key=score)
+
+
 def test_repeated_rows_are_spread_over_cells(spark, monkeypatch):
     seen = []
     real = packing.stash

@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,18 +111,24 @@ def evolve(sizes: list[int], population: list[list[int]], guests: list[list[int]
     return [_to(p, n) for _, p in ranked[:POPULATION]]
 
 
-_STATE = "cell long, island int, sizes array<int>, people array<array<int>>, bins int, fill double"
+def search(sizes: list[int], capacity: int, cell: int) -> list[int]:
+    """The bin of each item in the best individual of all islands of a cell. Between epochs each island sends its best to
+    the next."""
+    islands: list[tuple[list, list]] = [([], [])] * ISLANDS
+    for epoch in range(EPOCHS):
+        people = [evolve(sizes, *p, capacity, seed=hash((cell, k, epoch))) for k, p in enumerate(islands)]
+        islands = [(p, [people[k - 1][0]]) for k, p in enumerate(people)]
+    best = [p[0] for p in people]
+    return best[max(range(ISLANDS), key=lambda k: (fitness(_of(best[k], sizes, capacity)[1], capacity), -k))]
 
 
-def _step(capacity: int, epoch: int):
+def _search(capacity: int):
     def run(batches):
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                people = evolve(r["sizes"], r["people"] or [], r["guests"] or [], capacity, seed=hash((r["cell"], r["island"], epoch)))
-                bins, fill = fitness(_of(people[0], r["sizes"], capacity)[1], capacity) if r["sizes"] else (0, 0.0)
-                rows.append({"cell": r["cell"], "island": r["island"], "sizes": r["sizes"], "people": people, "bins": -bins, "fill": fill})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("people", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("fill", pa.float64())]))
+            for one in (b.slice(k, 1) for k in range(b.num_rows)):
+                sizes = [-w for w in pc.struct_field(pc.list_flatten(one.column(1)), [0]).to_pylist()]
+                found = search(sizes, capacity, one.column(0)[0].as_py())
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([found], pa.list_(pa.int32()))], names=["cell", "items", "bin"])
 
     return run
 
@@ -152,20 +159,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items, total = rest.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     cells = max(1, math.ceil(total / (capacity * CELL_BINS)), math.ceil(items / CELL_ITEMS))
     rest = rest.withColumn("cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)))
-    problem = rest.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct((-F.col("words")).alias("w"), "doc_id", "piece"))).alias("items"))
-    problem = stash(problem, "cells")
-    sizes = F.transform("items", lambda x: -x["w"]).alias("sizes")
-    none = F.lit(None).cast("array<array<int>>")
-    state = problem.select("cell", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), sizes, none.alias("people"), none.alias("guests"))
-    # one island of one cell is the unit of work: spread them before the costly step
+    # one cell is the unit of work: its populations stay in the worker, only the best individual becomes a row
     parts = max(1, min(10_000, cells * ISLANDS // 8))
-    state = stash(state.repartition(parts, "cell", "island").mapInArrow(_step(capacity, 0), _STATE), "islands")
-    for epoch in range(1, EPOCHS):
-        sent = state.select("cell", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("people", 1, 1).alias("guests"))
-        joined = state.join(sent, ["cell", "island"]).select("cell", "island", "sizes", "people", "guests")
-        state = stash(joined.repartition(parts, "cell", "island").mapInArrow(_step(capacity, epoch), _STATE), "islands")
-    best = state.groupBy("cell").agg(F.max(F.struct(-F.col("bins"), "fill", -F.col("island"), F.col("people")[0].alias("bin"))).alias("b")).select("cell", "b.bin")
-    placed = problem.join(best, "cell").select("cell", F.explode(F.arrays_zip("items", "bin")).alias("x"))
+    problem = rest.repartition(parts, "cell").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct((-F.col("words")).alias("w"), "doc_id", "piece"))).alias("items"))
+    best = stash(problem.mapInArrow(_search(capacity), "cell long, items array<struct<w: int, doc_id: long, piece: int>>, bin array<int>"), "cells")
+    placed = best.select("cell", F.explode(F.arrays_zip("items", "bin")).alias("x"))
     rows = placed.groupBy("cell", F.col("x.bin").alias("bin")).agg(F.sort_array(F.collect_list("x.items")).alias("items"))
     # a bin's pieces follow one another in item order
     starts = F.transform("items", lambda x, k: F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), (-x["w"]).alias("words"), F.aggregate(F.slice("items", 1, k), F.lit(0), lambda s, y: s - y["w"]).alias("start")))
