@@ -280,6 +280,27 @@ def test_scores_and_paths_against_plain_steps():
         assert np.array_equal(tags, tags_want)
 
 
+def test_windows_fill_their_lanes(monkeypatch):
+    """Texts of many lengths are scored in few calls almost without padding, and a window's scores are those of the
+    window alone, whatever else is in its lane."""
+    rng, calls, real = np.random.default_rng(8), [], pii.tag_scores
+    p = pii.initial(rng)
+    ids = [rng.integers(1, 99, n).astype(np.uint8) for n in (*rng.integers(1, 1400, 300), 1, 720, 721)]
+
+    def scores(p, x, *where):
+        calls.append(x.size)
+        out = real(p, x, *where)
+        for lane, a, b in list(zip(*where))[::9]:
+            assert np.allclose(out[:, lane, a:b].T, pii.emissions(p, x[lane, a:b][None])[0][:, 0], atol=2e-5)
+        return out
+
+    monkeypatch.setattr(pii, "tag_scores", scores)
+    got = pii.decode(p, ids)
+    assert [len(x) for x in got] == [len(x) for x in ids]
+    held = sum(map(len, ids)) + sum((pii.WINDOW - pii.STRIDE) * max(0, -(-(len(x) - pii.WINDOW) // pii.STRIDE)) for x in ids)
+    assert len(calls) <= 1 + held // pii.SCORED and held <= sum(calls) <= 1.05 * held
+
+
 def test_every_span_of_the_tags_is_found():
     """What ``find`` gives is what the tags of the whole text say, but for growth to whole words."""
     rng = np.random.default_rng(6)
