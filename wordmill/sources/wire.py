@@ -23,8 +23,10 @@ def options_from_json(text: str) -> SearchOptions:
         raise ValueError("search options must be an object")
     for f in fields(SearchOptions):
         if (name := camel(f.name)) in given:
-            kind = int if f.type == "int" else bool
-            if type(given[name]) is not kind or (kind is int and given[name] < 0):
+            kind = int if f.type.startswith("int") else bool
+            if given[name] is None and f.type.endswith("None"):
+                pass
+            elif type(given[name]) is not kind or (kind is int and given[name] < 0):
                 raise ValueError(f"invalid search options: {name}")
             known[f.name] = given[name]
     return SearchOptions(**known)
