@@ -70,3 +70,10 @@ def test_related_terms_are_looked_up_without_a_shuffle_of_tokens(spark, odd):
     few = spark.createDataFrame([("a",), ("z",)], "term string")
     assert "SortMergeJoin" not in plan(Index.build(odd).stats_of(few))
     assert "SortMergeJoin" not in plan(Index.build(odd).remove([1, 2]).docs)
+
+
+def test_ngrams_travel_in_few_rows(spark, odd):
+    counted = tokenize.count_ngrams(odd, 3)
+    assert "HashAggregate" not in plan(counted) and plan(counted).count("hashpartitioning") <= 2
+    same(tokenize.count_ngrams(odd, 0), counted.where("false"))
+    same(tokenize.count_ngrams(odd, 9), tokenize.tokenize_ngrams(odd, 8).groupBy("term").agg(F.count("*").alias("n")))
